@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -305,7 +306,7 @@ def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame) -> DataFr
                 rows.append(b.slice(lo, hi - lo))
                 if sum(r.num_rows for r in rows) > 4 * BLOCK:  # targets come first: keep them, work off the asking rows
                     t = pa.Table.from_batches(rows)
-                    target = t.filter(pa.compute.equal(t["asks"], 0))
+                    target = t.filter(pc.equal(t["asks"], 0))
                     yield from tile(rows)
                     rows = target.combine_chunks().to_batches()
 
