@@ -155,31 +155,30 @@ def shared_tokens(feats: DataFrame) -> DataFrame:
     """Members of tiles that have two or more: token, salt, sid, n and the tile's first member."""
 
     def run(batches):
-        held = None  # the last tile may go on in the next batch
-        for batch in _with_end(batches):
-            cols = None if batch is None else [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            if held is not None:
-                cols = held if cols is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if cols is None:
-                return
-            token, salt, sid, n = cols
-            new = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
-            if batch is None:
-                stop, held = len(token), None
-            else:
-                stop = int(np.flatnonzero(new)[-1])
-                held = [x[stop:] for x in cols]
-            if not stop:
+        lead, shown, last = None, False, None  # the open tile's first row, whether it is out, and the last sid
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            token, salt, sid, n, new = token[:stop], salt[:stop], sid[:stop], n[:stop], new[:stop]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            token, salt, sid, n = cols if lead is None else [np.r_[x, y].astype(y.dtype) for x, y in zip(lead, cols, strict=True)]
+            new = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
             once = new | np.r_[True, sid[1:] != sid[:-1]]
+            if lead is not None and not new[1]:
+                once[1] = sid[1] != last
+            last = sid[-1]
             token, salt, sid, n, new = token[once], salt[once], sid[once], n[once], new[once]
             first = np.flatnonzero(new)
             size = np.diff(np.r_[first, len(token)])
             group = np.repeat(np.arange(len(first)), size)
-            at = np.flatnonzero((size[group] > 1) | (salt > 0))
-            lead = first[group[at]]
-            yield {"token": token[at], "salt": salt[at], "sid": sid[at], "n": n[at], "lead": sid[lead], "lead_n": n[lead]}
+            out = (size[group] > 1) | (salt > 0)
+            open_shown = bool(out[first[-1]]) or (shown and len(first) == 1)
+            if shown:
+                out[0] = False
+            at, top = np.flatnonzero(out), first[group]
+            top = top[at]
+            yield {"token": token[at], "salt": salt[at], "sid": sid[at], "n": n[at], "lead": sid[top], "lead_n": n[top]}
+            k = first[-1]
+            lead, shown = (token[k], salt[k], sid[k], n[k]), open_shown
 
     rows = feats.where("bits is not null").select("sid", "n", F.explode(F.arrays_zip("token", "salt")).alias("t")).select("t.token", "t.salt", "sid", "n")
     rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "sid")
@@ -246,8 +245,8 @@ def set_arrays(docs: DataFrame, wanted: Bloom) -> DataFrame:
     return map_arrow(docs, run, "sid long, hashes binary")
 
 
-def settle(docs: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
-    """The pairs whose exact Jaccard similarity is high enough, by sorted-array intersection.
+def settle(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose exact Jaccard similarity is high enough, by intersecting ``arrays(sid, hashes)``.
 
     A pair's partners meet in the group of its ``a``, in blocks of the ``b`` side,
     so a set with many partners is spread over many tasks.
@@ -274,8 +273,6 @@ def settle(docs: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
             if out_a:
                 yield {"a": out_a, "b": out_b}
 
-    need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    arrays = set_arrays(docs, Bloom.of(need, "sid")).join(need, "sid", "left_semi").dropDuplicates(["sid"])
     part = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")
     members = pairs.select("a", part.alias("part"), F.col("b").alias("sid"), F.lit(1).alias("late"))
     own = members.select("a", "part", F.col("a").alias("sid"), F.lit(0).alias("late")).distinct()
@@ -285,54 +282,56 @@ def settle(docs: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
     return map_arrow(rows.select("a", "part", "sid", "hashes"), run, "a long, b long")
 
 
+def arrays_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``sid, hashes`` of the sets in the pairs, made from the texts again."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    return set_arrays(docs, Bloom.of(need, "sid")).join(need, "sid", "left_semi").dropDuplicates(["sid"])
+
+
 def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs across components in tiles that still hold several, by size band and block, past the bound."""
 
     def run(batches):
-        key, rows = None, []
+        held = None  # the open tile
         for b in _with_end(batches):
-            if b is None:
-                if rows:
-                    yield from tile(rows)
+            new = [] if b is None else [b]
+            t = pa.Table.from_batches(new if held is None else [*held.to_batches(), *new]) if new or held is not None else None
+            if t is None:
                 return
-            token, bnd, blk, asks = (b.column(c).to_numpy() for c in ("token", "band", "blk", "asks"))
+            token, bnd, blk = (t[c].to_numpy() for c in ("token", "band", "blk"))
             edge = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (bnd[1:] != bnd[:-1]) | (blk[1:] != blk[:-1])])
-            for lo, hi in zip(edge, [*edge[1:], len(token)], strict=True):
-                k = (token[lo], bnd[lo], blk[lo])
-                if k != key:
-                    if rows:
-                        yield from tile(rows)
-                    key, rows = k, []
-                rows.append(b.slice(lo, hi - lo))
-                if sum(r.num_rows for r in rows) > 4 * BLOCK:  # targets come first: keep them, work off the asking rows
-                    t = pa.Table.from_batches(rows)
-                    target = t.filter(pc.equal(t["asks"], 0))
-                    yield from tile(rows)
-                    rows = target.combine_chunks().to_batches()
-
-    def tile(rows):
-        t = pa.Table.from_batches(rows)
+            if b is None:
+                yield from tiles(t, edge)
+                return
+            yield from tiles(t.slice(0, edge[-1]), edge[:-1])
+            held = t.slice(edge[-1])
+            if held.num_rows > 4 * BLOCK:  # its targets come first: keep them, and work off the asking rows
+                yield from tiles(held, np.array([0]))
+                held = held.filter(pc.equal(held["asks"], 0))
+
+    def tiles(t, edge):
         if t.num_rows < 2:
             return
         sid, n, comp_, asks, home, minor = (t[c].to_numpy() for c in ("sid", "n", "comp", "asks", "home", "minor"))
-        if (comp_ == comp_[0]).all() or not asks.any() or asks.all():
-            return
-        raw = t["bits"].to_pylist()
-        short = min(map(len, raw))
-        maps = np.stack([fold(np.frombuffer(x, np.uint8), short) for x in raw])
-        if short % 8 == 0:
-            maps = maps.view(np.uint64)
-        to = np.flatnonzero(asks == 0)
-        a, b = [], []
-        for q in np.flatnonzero(asks == 1):
-            ok = (comp_[to] != comp_[q]) & (home[to] | home[q]) & (4 * np.minimum(n[to], n[q]) >= 3 * np.maximum(n[to], n[q]))
-            ok &= ~minor[to] | (sid[q] < sid[to])
-            at = to[ok]
-            if len(at):
-                odd = np.bitwise_count(maps[at] ^ maps[q]).sum(axis=1, dtype=np.int64)
-                at = at[similar(n[at], n[q], bound(n[at], n[q], odd))]
-                a.append(np.minimum(sid[at], sid[q]))
-                b.append(np.maximum(sid[at], sid[q]))
+        size, ask = np.diff(np.r_[edge, len(sid)]), np.add.reduceat(asks, edge)
+        use = (ask > 0) & (ask < size) & (np.minimum.reduceat(comp_, edge) != np.maximum.reduceat(comp_, edge))
+        bits, a, b = t["bits"].combine_chunks(), [], []
+        for lo, m in zip(edge[use].tolist(), size[use].tolist(), strict=True):
+            raw = bits.slice(lo, m).to_pylist()
+            short = min(map(len, raw))
+            maps = np.stack([fold(np.frombuffer(x, np.uint8), short) for x in raw])
+            maps = maps.view(np.uint64) if short % 8 == 0 else maps
+            s, k, c, h, mi = (x[lo : lo + m] for x in (sid, n, comp_, home, minor))
+            to, q = np.flatnonzero(asks[lo : lo + m] == 0), np.flatnonzero(asks[lo : lo + m] == 1)
+            for part in np.array_split(q, 1 + len(q) * len(to) // 200_000):
+                x, y = np.repeat(part, len(to)), np.tile(to, len(part))
+                ok = (c[x] != c[y]) & (h[x] | h[y]) & (4 * np.minimum(k[x], k[y]) >= 3 * np.maximum(k[x], k[y])) & (~mi[y] | (s[x] < s[y]))
+                x, y = x[ok], y[ok]
+                if len(x):
+                    odd = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+                    ok = similar(k[x], k[y], bound(k[x], k[y], odd))
+                    a.append(np.minimum(s[x], s[y])[ok])
+                    b.append(np.maximum(s[x], s[y])[ok])
         if a:
             yield {"a": np.concatenate(a), "b": np.concatenate(b)}
 
@@ -351,6 +350,29 @@ def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame) -> DataFr
     return map_arrow(both.select("token", "band", "blk", "asks", "sid", "n", "comp", "home", "minor", "bits"), run, "a long, b long").distinct()
 
 
+def link_sets(work: Workspace, feats: DataFrame, arrays) -> DataFrame | None:
+    """``id, component`` of the sets that link, of ``feats(sid, n, token, salt, bits)``.
+
+    Sets that share a token are compared; ``arrays(pairs)`` gives the sorted hashes
+    of the sets in pairs.
+    """
+    live = work.save(shared_tokens(feats), "live")
+    release(work.spark)
+    ids = live.select("sid").distinct()
+    bits = work.save(feats.where("bits is not null").select("sid", "bits").join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "bits")
+    likely = work.save(pass_bound(first_pairs(live), bits), "likely")
+    links = work.save(settle(likely, arrays(likely)), "links")
+    release(work.spark)
+    comp = work.save(components(work, links), "first")
+    rest = remaining_pairs(live, comp, bits)
+    rest = work.save(rest.join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    more = work.save(settle(rest, arrays(rest)), "more")
+    if not more.isEmpty():
+        comp = work.save(components(work, links.unionByName(more)), "comp")
+    work.drop(live, bits, likely, rest, links, more)
+    return comp
+
+
 def jaccard_join(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     """``doc_id, n_shingles, component_id, n_copies`` for each row of ``docs(doc_id, text)``.
 
@@ -363,20 +385,7 @@ def jaccard_join(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     work = Workspace(spark, name)
     classes = spark.sparkContext.broadcast(frequency_classes(docs).tobytes())
     feats = work.save(features(docs, classes), "features")
-    live = work.save(shared_tokens(feats), "live")
-    release(spark)
-    ids = live.select("sid").distinct()
-    bits = work.save(feats.where("bits is not null").select("sid", "bits").join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "bits")
-    likely = work.save(pass_bound(first_pairs(live), bits), "likely")
-    links = work.save(settle(docs, likely, work), "links")
-    release(spark)
-    comp = work.save(components(work, links), "first")
-    rest = remaining_pairs(live, comp, bits)
-    rest = work.save(rest.join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = work.save(settle(docs, rest, work), "more")
-    if not more.isEmpty():
-        comp = work.save(components(work, links.unionByName(more)), "comp")
-    release(spark)
+    comp = link_sets(work, feats, lambda pairs: arrays_of(docs, pairs))
     classes_of = feats.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     named = work.save(classes_of.join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "classes")
     least = named.groupBy("component").agg(F.min("first").alias("least"))

@@ -15,6 +15,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,12 +49,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraph_dedup import paragraph_dedup
+
+    return paragraph_dedup(_table(spark, sf_dir, "documents")).drop("text")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
     return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import reshard
+
+    return reshard(_table(spark, sf_dir, "documents"), old_shards=6, new_shards=8)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -70,6 +94,11 @@ e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a)
 SELECT d.doc_id, coalesce(n.k, 0) AS n_shingles, (SELECT min(c) FROM r WHERE r.id = d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op2_warc": """
+WITH r AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages), d AS (SELECT page_id, octet_length(p) AS n, sha1(p) AS h FROM r),
+m AS (SELECT h, max(page_id) AS top FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, d.h AS payload_digest, CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top > page_id THEN top END AS refers_to
+FROM d LEFT JOIN m ON d.h = m.h AND d.n >= 1000""",
     "op8_line_dedup": rf"""
 WITH l AS MATERIALIZED (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS MATERIALIZED (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_ALPHABET}) AS key FROM l),
@@ -83,4 +112,4 @@ p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM s JOIN i USING (g) GROUP
 SELECT doc_id, item_id::BIGINT AS item_id, n_item, n_shared FROM p JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_sentencepiece, op5_quality_rules, op6_token_files, op8_line_dedup, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_token_files, op7_paragraph_dedup, op8_line_dedup, op9_sharding, op10_benchmark_decontamination)}
