@@ -29,6 +29,8 @@ sets, hence linked.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,6 +43,7 @@ from .common import Bloom, Workspace, arrow_schema, components, docs_of, lists,
 SLOTS_LOG2 = 20  #: counters of the frequency sketch (fixed size)
 HOT = 32  #: a counter below this says nothing about its shingles
 BLOCK = 2048  #: members of a frequent shingle's tile that are compared at once
+SMALL = 64  #: a tile of at most so many members carries no bitmaps; its pairs meet them afterwards, once each
 MAX_BITS = 8192  #: widest bitmap
 _BAND = np.log(4 / 3)
 
@@ -288,10 +291,10 @@ def arrays_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return set_arrays(docs, Bloom.of(need, "sid")).join(need, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame) -> DataFrame:
+def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs across components in tiles that still hold several, by size band and block, past the bound."""
 
-    def run(batches):
+    def run(batches, with_bits):
         held = None  # the open tile
         for b in _with_end(batches):
             new = [] if b is None else [b]
@@ -301,53 +304,66 @@ def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame) -> DataFr
             token, bnd, blk = (t[c].to_numpy() for c in ("token", "band", "blk"))
             edge = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (bnd[1:] != bnd[:-1]) | (blk[1:] != blk[:-1])])
             if b is None:
-                yield from tiles(t, edge)
+                yield from tiles(t, edge, with_bits)
                 return
-            yield from tiles(t.slice(0, edge[-1]), edge[:-1])
+            yield from tiles(t.slice(0, edge[-1]), edge[:-1], with_bits)
             held = t.slice(edge[-1])
             if held.num_rows > 4 * BLOCK:  # its targets come first: keep them, and work off the asking rows
-                yield from tiles(held, np.array([0]))
+                yield from tiles(held, np.array([0]), with_bits)
                 held = held.filter(pc.equal(held["asks"], 0))
 
-    def tiles(t, edge):
+    def tiles(t, edge, with_bits):
         if t.num_rows < 2:
             return
         sid, n, comp_, asks, home, minor = (t[c].to_numpy() for c in ("sid", "n", "comp", "asks", "home", "minor"))
         size, ask = np.diff(np.r_[edge, len(sid)]), np.add.reduceat(asks, edge)
         use = (ask > 0) & (ask < size) & (np.minimum.reduceat(comp_, edge) != np.maximum.reduceat(comp_, edge))
-        bits, a, b = t["bits"].combine_chunks(), [], []
+        bits, out = t["bits"].combine_chunks() if with_bits else None, []
         for lo, m in zip(edge[use].tolist(), size[use].tolist(), strict=True):
-            raw = bits.slice(lo, m).to_pylist()
-            short = min(map(len, raw))
-            maps = np.stack([fold(np.frombuffer(x, np.uint8), short) for x in raw])
-            maps = maps.view(np.uint64) if short % 8 == 0 else maps
+            if with_bits:
+                raw = bits.slice(lo, m).to_pylist()
+                short = min(map(len, raw))
+                maps = np.stack([fold(np.frombuffer(x, np.uint8), short) for x in raw])
+                maps = maps.view(np.uint64) if short % 8 == 0 else maps
             s, k, c, h, mi = (x[lo : lo + m] for x in (sid, n, comp_, home, minor))
             to, q = np.flatnonzero(asks[lo : lo + m] == 0), np.flatnonzero(asks[lo : lo + m] == 1)
             for part in np.array_split(q, 1 + len(q) * len(to) // 200_000):
                 x, y = np.repeat(part, len(to)), np.tile(to, len(part))
                 ok = (c[x] != c[y]) & (h[x] | h[y]) & (4 * np.minimum(k[x], k[y]) >= 3 * np.maximum(k[x], k[y])) & (~mi[y] | (s[x] < s[y]))
                 x, y = x[ok], y[ok]
-                if len(x):
+                if with_bits and len(x):
                     odd = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
                     ok = similar(k[x], k[y], bound(k[x], k[y], odd))
-                    a.append(np.minimum(s[x], s[y])[ok])
-                    b.append(np.maximum(s[x], s[y])[ok])
-        if a:
-            yield {"a": np.concatenate(a), "b": np.concatenate(b)}
+                    x, y = x[ok], y[ok]
+                if len(x):
+                    swap = s[x] > s[y]
+                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    out.append(np.stack([s[x], k[x], s[y], k[y]]))
+        if out:
+            yield dict(zip(("a", "na", "b", "nb"), np.unique(np.concatenate(out, axis=1), axis=1), strict=True))
 
     rows = live.select("token", "sid", "n").distinct().join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     per = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = per.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("g")).where("kinds > 1")
-    mixed = mixed.select("token", F.col("main.comp").alias("main"), F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+    mixed = mixed.select("token", F.col("main.comp").alias("main"), "g", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(mixed, "token").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(_BAND)) + F.lit(1e-9)).cast("int")
     rows = rows.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     rows = rows.withColumn("home", F.col("own") == F.col("band")).drop("own")
     target = rows.withColumn("asks", F.lit(0)).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     asking = rows.where("minor").withColumn("asks", F.lit(1)).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = target.unionByName(asking).join(bits, "sid")
-    both = both.repartition("token", "band", "blk").sortWithinPartitions("token", "band", "blk", "asks")
-    return map_arrow(both.select("token", "band", "blk", "asks", "sid", "n", "comp", "home", "minor", "bits"), run, "a long, b long").distinct()
+    both = target.unionByName(asking)
+    columns, ddl = ["token", "band", "blk", "asks", "sid", "n", "comp", "home", "minor"], "a long, na long, b long, nb long"
+
+    def dealt(tiles, more=()):
+        return tiles.select(*columns, *more).repartition("token", "band", "blk").sortWithinPartitions("token", "band", "blk", "asks")
+
+    def fresh(pairs):
+        return pairs.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+    few = pass_bound(fresh(map_arrow(dealt(both.where(F.col("g") <= SMALL)), partial(run, with_bits=False), ddl)), bits)
+    many = map_arrow(dealt(both.where(F.col("g") > SMALL).join(bits, "sid"), ["bits"]), partial(run, with_bits=True), ddl)
+    return few.unionByName(fresh(many).select("a", "b")).distinct()
 
 
 def link_sets(work: Workspace, feats: DataFrame, arrays) -> DataFrame | None:
@@ -364,8 +380,7 @@ def link_sets(work: Workspace, feats: DataFrame, arrays) -> DataFrame | None:
     links = work.save(settle(likely, arrays(likely)), "links")
     release(work.spark)
     comp = work.save(components(work, links), "first")
-    rest = remaining_pairs(live, comp, bits)
-    rest = work.save(rest.join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    rest = work.save(remaining_pairs(live, comp, bits, likely), "rest")
     more = work.save(settle(rest, arrays(rest)), "more")
     if not more.isEmpty():
         comp = work.save(components(work, links.unionByName(more)), "comp")
