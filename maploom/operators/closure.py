@@ -45,7 +45,8 @@ def domain_members(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Ancestors are found once for each distinct issuer, not for each domain.
     """
-    own = links.join(nodes, "id").select("domain_id", "id", "parent")
+    nodes = cut(nodes.select("id", "parent"), "nodes")
+    own = cut(links.join(nodes, "id").select("domain_id", "id", "parent"), "own")
     issuers = own.where("parent is not null and parent <> ''").select(F.col("parent").alias("id")).distinct()
     memo = ancestors(nodes, issuers)
     above = own.join(memo.withColumnRenamed("id", "parent"), "parent").select("domain_id", F.col("ancestor").alias("id"))
