@@ -88,17 +88,20 @@ def plan(blocks: list[tuple[int, int, int]], old: int, new: int) -> dict[int, in
 
 
 def _even_out(blocks, place, got, rounds: int = 20_000) -> None:
-    """Move small blocks from the fullest to the emptiest shard while that narrows the gap."""
+    """Move blocks from the fullest shard that can give to the emptiest while that narrows the gap."""
     by_shard: dict[int, list] = {}
     for block, _, size in blocks:
         by_shard.setdefault(place[block], []).append((size, block))
     for _ in range(rounds):
-        hi, lo = int(got.argmax()), int(got.argmin())
-        gap = int(got[hi] - got[lo])
-        fits = [x for x in by_shard.get(hi, []) if 0 < x[0] < gap]
-        if not fits:
+        lo = int(got.argmin())
+        for hi in np.argsort(-got).tolist():  # a shard with one oversized block can give nothing: the next may
+            gap = int(got[hi] - got[lo])
+            fits = [x for x in by_shard.get(hi, []) if 0 < x[0] < gap]
+            if fits:
+                break
+        else:
             return
-        size, block = min(fits, key=lambda x: abs(gap - 2 * x[0]))
+        size, block = min(fits, key=lambda x: (abs(gap - 2 * x[0]), x[1]))
         by_shard[hi].remove((size, block))
         by_shard.setdefault(lo, []).append((size, block))
         place[block] = lo

@@ -34,7 +34,7 @@ from .segments import SegmentEncoder, kept, spans
 
 MAGIC = b"MLTK0001"
 #: The dictionary is trained on at most so many documents, of at most so many ids each.
-SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2000, 2000, 64 << 10
+SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 500, 64 << 10
 LEVEL = 1
 #: Bytes that may begin a white-space character other than ASCII.
 _WIDE = np.zeros(256, bool)
@@ -43,6 +43,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
+#: Marks before which a word always ends.
+_MARK = np.zeros(256, bool)
+_MARK[list(b",.;:!?|#%&$*")] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
+
+
 def file_system(path: str):
     """pyarrow file system and path in it of a URI or a plain path."""
     from pyarrow import fs
@@ -51,7 +58,7 @@ def file_system(path: str):
 
 
 def _cuts(texts: tn.Texts) -> np.ndarray:
-    """A single space or new line between two characters that are certainly not white space starts a segment.
+    """A single space or new line between two characters that are certainly not white space starts a segment; so does a mark after a letter.
 
     The byte-level pattern takes such a space into the following token, and such a
     new line as a token of its own.
@@ -65,6 +72,10 @@ def _cuts(texts: tn.Texts) -> np.ndarray:
             near[k:] |= _WIDE[d[:-k]]
         here = (d[1:-1] == 32) | (d[1:-1] == 10)
         cut[1:-1] = here & solid[:-2] & solid[2:] & ~near[1:-1]
+        # a word ends before such a mark: after an ASCII letter, or a letter of U+00C0-U+00FF
+        latin = np.zeros(len(d), bool)
+        latin[1:] = (d[:-1] == 0xC3) & (d[1:] != 0x97) & (d[1:] != 0xB7)
+        cut[1:] |= _MARK[d[1:]] & (_ASCII_LETTER[d] | latin)[:-1]
     return cut
 
 
