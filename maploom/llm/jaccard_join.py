@@ -10,8 +10,8 @@ all texts) last, so common passages hardly ever form a tile.
 2. Each tile proposes pairs with its first member (a star); linked classes
    become components.
 3. Tiles that still hold several components compare the members outside the
-   tile's main component with all others, by size band and in blocks of
-   bounded size.
+   tile's main component first with a few members of it, and then those that are
+   still outside with all others, by size band and in blocks of bounded size.
 4. A proposed pair first meets the bound of the hashed bitmaps: with parity
    bitmaps x, y of sets A, B, the overlap is at most
    (|A| + |B| - popcount(x xor y)) / 2.  Pairs that pass are settled by
@@ -43,7 +43,7 @@ from .common import Bloom, Workspace, arrow_schema, components, docs_of, lists,
 SLOTS_LOG2 = 20  #: counters of the frequency sketch (fixed size)
 HOT = 32  #: a counter below this says nothing about its shingles
 BLOCK = 2048  #: members of a frequent shingle's tile that are compared at once
-SMALL = 64  #: a tile of at most so many members carries no bitmaps; its pairs meet them afterwards, once each
+SMALL = 8  #: a tile of at most so many members carries no bitmaps; its pairs meet them afterwards, once each
 MAX_BITS = 8192  #: widest bitmap
 _BAND = np.log(4 / 3)
 
@@ -291,6 +291,29 @@ def arrays_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return set_arrays(docs, Bloom.of(need, "sid")).join(need, "sid", "left_semi").dropDuplicates(["sid"])
 
 
+def mixed_tiles(live: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``token, sid, n, comp``, and ``token, kinds, main, g`` of the tiles with several components."""
+    rows = live.select("token", "sid", "n").distinct().join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    per = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    return rows, per.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("g")).where("kinds > 1")
+
+
+def main_pairs(live: DataFrame, comp: DataFrame, tested: DataFrame, seeds: int = 3) -> DataFrame:
+    """Pairs of members outside their tile's main component with a few members of it, chosen by hash.
+
+    In a large group of near copies nearly all members link with some of these, so
+    that few are left to be compared with all.
+    """
+    rows, mixed = mixed_tiles(live, comp)
+    rows = rows.join(mixed.where("g > 2").select("token", F.col("main.comp").alias("main")), "token")
+    some = [F.min(F.struct(F.xxhash64(F.col("sid"), F.lit(k)).alias("h"), "sid", "n")).alias(f"m{k}") for k in range(seeds)]
+    centers = rows.where("comp = main").groupBy("token").agg(*some).select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"m{k}.sid", f"m{k}.n") for k in range(seeds)]))).alias("c"))
+    pairs = rows.where("comp <> main").join(centers, "token").where(_SIZES.format("n", "c.n"))
+    low, high = F.least(F.struct("sid", "n"), F.col("c")), F.greatest(F.struct("sid", "n"), F.col("c"))
+    pairs = pairs.select(low.alias("x"), high.alias("y")).select(F.col("x.sid").alias("a"), F.col("x.n").alias("na"), F.col("y.sid").alias("b"), F.col("y.n").alias("nb")).distinct()
+    return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
 def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs across components in tiles that still hold several, by size band and block, past the bound."""
 
@@ -342,9 +365,10 @@ def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame, tested: D
         if out:
             yield dict(zip(("a", "na", "b", "nb"), np.unique(np.concatenate(out, axis=1), axis=1), strict=True))
 
-    rows = live.select("token", "sid", "n").distinct().join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    per = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    mixed = per.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("g")).where("kinds > 1")
+    rows, mixed = mixed_tiles(live, comp)
+    two = rows.join(mixed.where("g = 2").select("token"), "token").groupBy("token").agg(F.min(F.struct("sid", "n")).alias("x"), F.max(F.struct("sid", "n")).alias("y"))
+    two = two.where(_SIZES.format("x.n", "y.n")).select(F.col("x.sid").alias("a"), F.col("x.n").alias("na"), F.col("y.sid").alias("b"), F.col("y.n").alias("nb"))
+    mixed = mixed.where("g > 2")
     mixed = mixed.select("token", F.col("main.comp").alias("main"), "g", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(mixed, "token").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(_BAND)) + F.lit(1e-9)).cast("int")
@@ -361,7 +385,8 @@ def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame, tested: D
     def fresh(pairs):
         return pairs.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
-    few = pass_bound(fresh(map_arrow(dealt(both.where(F.col("g") <= SMALL)), partial(run, with_bits=False), ddl)), bits)
+    few = map_arrow(dealt(both.where(F.col("g") <= SMALL)), partial(run, with_bits=False), ddl)
+    few = pass_bound(fresh(few.unionByName(two)), bits)
     many = map_arrow(dealt(both.where(F.col("g") > SMALL).join(bits, "sid"), ["bits"]), partial(run, with_bits=True), ddl)
     return few.unionByName(fresh(many).select("a", "b")).distinct()
 
@@ -380,11 +405,16 @@ def link_sets(work: Workspace, feats: DataFrame, arrays) -> DataFrame | None:
     links = work.save(settle(likely, arrays(likely)), "links")
     release(work.spark)
     comp = work.save(components(work, links), "first")
-    rest = work.save(remaining_pairs(live, comp, bits, likely), "rest")
-    more = work.save(settle(rest, arrays(rest)), "more")
-    if not more.isEmpty():
-        comp = work.save(components(work, links.unionByName(more)), "comp")
-    work.drop(live, bits, likely, rest, links, more)
+    for step in (main_pairs, remaining_pairs):
+        if step is main_pairs:
+            rest = work.save(pass_bound(main_pairs(live, comp, likely), bits), "main")
+        else:
+            rest = work.save(remaining_pairs(live, comp, bits, likely), "rest")
+        more = work.save(settle(rest, arrays(rest)), "more")
+        likely, links = likely.unionByName(rest), links.unionByName(more)
+        if not more.isEmpty():
+            comp = work.save(components(work, links), "comp")
+    release(work.spark)
     return comp
 
 
