@@ -298,15 +298,15 @@ def mixed_tiles(live: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]
     return rows, per.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("g")).where("kinds > 1")
 
 
-def main_pairs(live: DataFrame, comp: DataFrame, tested: DataFrame, seeds: int = 3) -> DataFrame:
-    """Pairs of members outside their tile's main component with a few members of it, chosen by hash.
+def main_pairs(live: DataFrame, comp: DataFrame, tested: DataFrame, turn: int, seeds: int = 3) -> DataFrame:
+    """Pairs of members outside their tile's main component with a few members of it, chosen by hash, others in each turn.
 
     In a large group of near copies nearly all members link with some of these, so
     that few are left to be compared with all.
     """
     rows, mixed = mixed_tiles(live, comp)
     rows = rows.join(mixed.where("g > 2").select("token", F.col("main.comp").alias("main")), "token")
-    some = [F.min(F.struct(F.xxhash64(F.col("sid"), F.lit(k)).alias("h"), "sid", "n")).alias(f"m{k}") for k in range(seeds)]
+    some = [F.min(F.struct(F.xxhash64(F.col("sid"), F.lit(turn * seeds + k)).alias("h"), "sid", "n")).alias(f"m{k}") for k in range(seeds)]
     centers = rows.where("comp = main").groupBy("token").agg(*some).select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"m{k}.sid", f"m{k}.n") for k in range(seeds)]))).alias("c"))
     pairs = rows.where("comp <> main").join(centers, "token").where(_SIZES.format("n", "c.n"))
     low, high = F.least(F.struct("sid", "n"), F.col("c")), F.greatest(F.struct("sid", "n"), F.col("c"))
@@ -405,15 +405,18 @@ def link_sets(work: Workspace, feats: DataFrame, arrays) -> DataFrame | None:
     links = work.save(settle(likely, arrays(likely)), "links")
     release(work.spark)
     comp = work.save(components(work, links), "first")
-    for step in (main_pairs, remaining_pairs):
-        if step is main_pairs:
-            rest = work.save(pass_bound(main_pairs(live, comp, likely), bits), "main")
-        else:
-            rest = work.save(remaining_pairs(live, comp, bits, likely), "rest")
+    many, turn, found = live.count(), 0, None
+    # again while that still joins much (a hundredth of the members): the rest is then compared with all
+    while found is None or 100 * found > many:
+        rest = work.save(pass_bound(main_pairs(live, comp, likely, turn), bits), "main")
         more = work.save(settle(rest, arrays(rest)), "more")
-        likely, links = likely.unionByName(rest), links.unionByName(more)
-        if not more.isEmpty():
+        likely, links, found, turn = likely.unionByName(rest), links.unionByName(more), more.count(), turn + 1
+        if found:
             comp = work.save(components(work, links), "comp")
+    rest = work.save(remaining_pairs(live, comp, bits, likely), "rest")
+    more = work.save(settle(rest, arrays(rest)), "more")
+    if not more.isEmpty():
+        comp = work.save(components(work, links.unionByName(more)), "comp")
     release(work.spark)
     return comp
 
