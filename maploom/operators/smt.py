@@ -140,7 +140,7 @@ def proofs(queries: DataFrame, leaves: DataFrame) -> DataFrame:
         return out
 
     def answer(q: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((bytes.fromhex(k), bytes.fromhex(v)) for k, v in zip(own["key"], own["value"], strict=True)) if len(own) else []
+        rows = sorted((bytes.fromhex(k), bytes.fromhex(v)) for k, v in zip(own["leaf_key"], own["leaf_value"], strict=True)) if len(own) else []
         out = []
         for hexkey in q["key"].unique():
             key = bytes.fromhex(hexkey)
@@ -157,7 +157,7 @@ def proofs(queries: DataFrame, leaves: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["key", "path", "included", "proof_key", "proof_value"])
 
     a = queries.select("key").distinct().withColumn("p", F.substring("key", 1, TOP // 4)).groupBy("p")
-    b = leaves.select("key", "value").withColumn("p", F.substring("key", 1, TOP // 4)).groupBy("p")
+    b = leaves.select(F.col("key").alias("leaf_key"), F.col("value").alias("leaf_value")).withColumn("p", F.substring("leaf_key", 1, TOP // 4)).groupBy("p")
     return a.cogroup(b).applyInPandas(lambda q, own: answer(q, own) if len(q) else pd.DataFrame(columns=["key", "path", "included", "proof_key", "proof_value"]), schema)
 
 
