@@ -395,12 +395,13 @@ def link_sets(work: Workspace, feats: DataFrame, arrays) -> DataFrame | None:
     """``id, component`` of the sets that link, of ``feats(sid, n, token, salt, bits)``.
 
     Sets that share a token are compared; ``arrays(pairs)`` gives the sorted hashes
-    of the sets in pairs.
+    of the sets in pairs.  ``feats`` must be a saved table; it is deleted once read.
     """
     live = work.save(shared_tokens(feats), "live")
     release(work.spark)
     ids = live.select("sid").distinct()
     bits = work.save(feats.where("bits is not null").select("sid", "bits").join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "bits")
+    work.drop(feats)
     likely = work.save(pass_bound(first_pairs(live), bits), "likely")
     links = work.save(settle(likely, arrays(likely)), "links")
     release(work.spark)
@@ -433,10 +434,11 @@ def jaccard_join(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     work = Workspace(spark, name)
     classes = spark.sparkContext.broadcast(frequency_classes(docs).tobytes())
     feats = work.save(features(docs, classes), "features")
+    sets = work.save(feats.select("doc_id", "sid", "n"), "sets")
     comp = link_sets(work, feats, lambda pairs: arrays_of(docs, pairs))
-    classes_of = feats.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes_of = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     named = work.save(classes_of.join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "classes")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(least, "component").select("sid", "least", "copies")
-    out = feats.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left")
+    out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))

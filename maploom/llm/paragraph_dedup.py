@@ -149,7 +149,6 @@ def clusters(docs: DataFrame, work: Workspace) -> DataFrame:
     features = work.save(paragraph_features(docs), "features")
     places = work.save(features.groupBy(F.col("sid").alias("key")).agg(F.sum("occurrences").alias("n"), F.min(F.struct("doc_id", "pos")).alias("place")), "places")
     comp = link_sets(work, features, lambda pairs: paragraph_arrays(docs, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
-    work.drop(features)
     named = places.join(comp.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = work.save(named.where("n > 1 or component <> key").unionByName(named.where("n = 1 and component = key").join(comp.select("component").distinct(), "component", "left_semi").select(named.columns)), "named")
     whole = named.groupBy("component").agg(F.sum("n").alias("all"), F.min("place").alias("first")).where("all > 1")
