@@ -224,15 +224,18 @@ def pass_bound(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "na", "b", "nb", "xa", "xb"), run, "a long, b long")
 
 
-def set_arrays(docs: DataFrame, wanted: Bloom) -> DataFrame:
-    """The sorted hash arrays of (at least) the wanted sets, made from the texts again."""
+def set_arrays(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """The sorted hash arrays of the sets ``need(sid, mark)``, made from the texts again.
 
-    handle = docs.sparkSession.sparkContext.broadcast((wanted.words.tobytes(), wanted.log2))
+    ``mark`` hashes the id of a document that has the set; only those are cut into shingles.
+    """
+
+    handle = docs.sparkSession.sparkContext.broadcast(need_blooms(need))
 
     def run(batches):
-        words, log2 = handle.value
-        bloom, seen = Bloom(np.frombuffer(words, np.uint32), log2), set()
-        for _, texts in tn.chunks(batches):
+        bloom, marks = blooms(handle.value)
+        seen = set()
+        for _, texts in tn.chunks(marked_only(batches, marks)):
             sids, arrays = [], []
             for s in tn.shingle_sets(texts):
                 sid = set_id(s)
@@ -245,7 +248,25 @@ def set_arrays(docs: DataFrame, wanted: Bloom) -> DataFrame:
             if sids:
                 yield {"sid": sids, "hashes": arrays}
 
-    return map_arrow(docs, run, "sid long, hashes binary")
+    found = map_arrow(docs.withColumn("mark", F.xxhash64(F.col("doc_id").cast("long"))), run, "sid long, hashes binary")
+    return found.join(need, "sid", "left_semi").dropDuplicates(["sid"])
+
+
+def need_blooms(need: DataFrame) -> tuple:
+    """Of ``sid`` and of ``mark``, to be broadcast (1 MB each)."""
+    return tuple((b.words.tobytes(), b.log2) for b in (Bloom.of(need, "sid"), Bloom.of(need, "mark")))
+
+
+def blooms(sent: tuple) -> list[Bloom]:
+    return [Bloom(np.frombuffer(words, np.uint32), log2) for words, log2 in sent]
+
+
+def marked_only(batches, marks: Bloom):
+    """The rows whose ``mark`` may be wanted."""
+    for b in batches:
+        keep = marks.has(b.column("mark").to_numpy())
+        if keep.any():
+            yield b.filter(pa.array(keep))
 
 
 def settle(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -285,27 +306,23 @@ def settle(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return map_arrow(rows.select("a", "part", "sid", "hashes"), run, "a long, b long")
 
 
-def arrays_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``sid, hashes`` of the sets in the pairs, made from the texts again."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    return set_arrays(docs, Bloom.of(need, "sid")).join(need, "sid", "left_semi").dropDuplicates(["sid"])
-
+def open_tiles(tiles: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members ``token, sid, n, comp, main, g`` of the tiles with several components and at least three members.
 
-def mixed_tiles(live: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members ``token, sid, n, comp``, and ``token, kinds, main, g`` of the tiles with several components."""
-    rows = live.select("token", "sid", "n").distinct().join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    Two members alone have met in the star.
+    """
+    rows = tiles.select("token", "sid", "n").join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     per = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    return rows, per.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("g")).where("kinds > 1")
+    mixed = per.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("g")).where("kinds > 1 and g > 2")
+    return rows.join(mixed.select("token", F.col("main.comp").alias("main"), "g"), "token")
 
 
-def main_pairs(live: DataFrame, comp: DataFrame, tested: DataFrame, turn: int, seeds: int = 3) -> DataFrame:
+def main_pairs(rows: DataFrame, tested: DataFrame, turn: int, seeds: int = 3) -> DataFrame:
     """Pairs of members outside their tile's main component with a few members of it, chosen by hash, others in each turn.
 
     In a large group of near copies nearly all members link with some of these, so
     that few are left to be compared with all.
     """
-    rows, mixed = mixed_tiles(live, comp)
-    rows = rows.join(mixed.where("g > 2").select("token", F.col("main.comp").alias("main")), "token")
     some = [F.min(F.struct(F.xxhash64(F.col("sid"), F.lit(turn * seeds + k)).alias("h"), "sid", "n")).alias(f"m{k}") for k in range(seeds)]
     centers = rows.where("comp = main").groupBy("token").agg(*some).select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"m{k}.sid", f"m{k}.n") for k in range(seeds)]))).alias("c"))
     pairs = rows.where("comp <> main").join(centers, "token").where(_SIZES.format("n", "c.n"))
@@ -314,7 +331,7 @@ def main_pairs(live: DataFrame, comp: DataFrame, tested: DataFrame, turn: int, s
     return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
-def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame, tested: DataFrame) -> DataFrame:
+def remaining_pairs(rows: DataFrame, bits: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs across components in tiles that still hold several, by size band and block, past the bound."""
 
     def run(batches, with_bits):
@@ -365,12 +382,7 @@ def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame, tested: D
         if out:
             yield dict(zip(("a", "na", "b", "nb"), np.unique(np.concatenate(out, axis=1), axis=1), strict=True))
 
-    rows, mixed = mixed_tiles(live, comp)
-    two = rows.join(mixed.where("g = 2").select("token"), "token").groupBy("token").agg(F.min(F.struct("sid", "n")).alias("x"), F.max(F.struct("sid", "n")).alias("y"))
-    two = two.where(_SIZES.format("x.n", "y.n")).select(F.col("x.sid").alias("a"), F.col("x.n").alias("na"), F.col("y.sid").alias("b"), F.col("y.n").alias("nb"))
-    mixed = mixed.where("g > 2")
-    mixed = mixed.select("token", F.col("main.comp").alias("main"), "g", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "token").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
+    rows = rows.withColumn("minor", F.col("comp") != F.col("main")).withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int")).drop("main")
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(_BAND)) + F.lit(1e-9)).cast("int")
     rows = rows.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     rows = rows.withColumn("home", F.col("own") == F.col("band")).drop("own")
@@ -386,11 +398,16 @@ def remaining_pairs(live: DataFrame, comp: DataFrame, bits: DataFrame, tested: D
         return pairs.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
     few = map_arrow(dealt(both.where(F.col("g") <= SMALL)), partial(run, with_bits=False), ddl)
-    few = pass_bound(fresh(few.unionByName(two)), bits)
+    few = pass_bound(fresh(few), bits)
     many = map_arrow(dealt(both.where(F.col("g") > SMALL).join(bits, "sid"), ["bits"]), partial(run, with_bits=True), ddl)
     return few.unionByName(fresh(many).select("a", "b")).distinct()
 
 
+def needed(work: Workspace, pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``sid, mark`` of the sets in the pairs, saved."""
+    return work.save(marks.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi"), "need")
+
+
 def link_sets(work: Workspace, feats: DataFrame, arrays) -> DataFrame | None:
     """``id, component`` of the sets that link, of ``feats(sid, n, token, salt, bits)``.
 
@@ -406,15 +423,19 @@ def link_sets(work: Workspace, feats: DataFrame, arrays) -> DataFrame | None:
     links = work.save(settle(likely, arrays(likely)), "links")
     release(work.spark)
     comp = work.save(components(work, links), "first")
-    many, turn, found = live.count(), 0, None
-    # again while that still joins much (a hundredth of the members): the rest is then compared with all
+    tiles = work.save(open_tiles(live, comp), "open")
+    work.drop(live)
+    many, turn, found = bits.count(), 0, None
+    # again while that still joins much (a hundredth of the sets): the rest is then compared with all
     while found is None or 100 * found > many:
-        rest = work.save(pass_bound(main_pairs(live, comp, likely, turn), bits), "main")
+        rest = work.save(pass_bound(main_pairs(tiles, likely, turn), bits), "main")
         more = work.save(settle(rest, arrays(rest)), "more")
         likely, links, found, turn = likely.unionByName(rest), links.unionByName(more), more.count(), turn + 1
         if found:
             comp = work.save(components(work, links), "comp")
-    rest = work.save(remaining_pairs(live, comp, bits, likely), "rest")
+            before, tiles = tiles, work.save(open_tiles(tiles, comp), "open")
+            work.drop(before)
+    rest = work.save(remaining_pairs(tiles, bits, likely), "rest")
     more = work.save(settle(rest, arrays(rest)), "more")
     if not more.isEmpty():
         comp = work.save(components(work, links.unionByName(more)), "comp")
@@ -435,8 +456,8 @@ def jaccard_join(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     classes = spark.sparkContext.broadcast(frequency_classes(docs).tobytes())
     feats = work.save(features(docs, classes), "features")
     sets = work.save(feats.select("doc_id", "sid", "n"), "sets")
-    comp = link_sets(work, feats, lambda pairs: arrays_of(docs, pairs))
-    classes_of = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes_of = work.save(sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "copies")
+    comp = link_sets(work, feats, lambda pairs: set_arrays(docs, needed(work, pairs, classes_of.select("sid", F.xxhash64("first").alias("mark")))))
     named = work.save(classes_of.join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "classes")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(least, "component").select("sid", "least", "copies")

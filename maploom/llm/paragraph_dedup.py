@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import Bloom, Workspace, docs_of, lists, map_arrow, small_batches
-from .jaccard_join import band, link_sets, width
+from .common import Workspace, docs_of, lists, map_arrow, small_batches
+from .jaccard_join import band, blooms, link_sets, marked_only, need_blooms, needed, width
 from .line_dedup import Lines, _rebuild, is_in
 from .segments import ragged
 
@@ -120,14 +120,13 @@ def paragraph_features(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_arrays(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """``sid, hashes``: the sorted shingle hashes of the paragraphs with the needed keys."""
-    bloom = Bloom.of(need, "sid")
-    handle = docs.sparkSession.sparkContext.broadcast((bloom.words.tobytes(), bloom.log2))
+    """``sid, hashes``: the sorted shingle hashes of the paragraphs ``need(sid, mark)``; ``mark`` hashes the id of a document with it."""
+    handle = docs.sparkSession.sparkContext.broadcast(need_blooms(need))
 
     def run(batches):
-        words, log2 = handle.value
-        table, seen = Bloom(np.frombuffer(words, np.uint32), log2), set()
-        for _, texts in tn.chunks(batches):
+        table, marks = blooms(handle.value)
+        seen = set()
+        for _, texts in tn.chunks(marked_only(batches, marks)):
             p = Paragraphs(texts)
             keys, arrays = [], []
             for k in np.flatnonzero(table.has(p.key)) if len(p.key) else ():
@@ -141,14 +140,14 @@ def paragraph_arrays(docs: DataFrame, need: DataFrame) -> DataFrame:
             if keys:
                 yield {"sid": keys, "hashes": arrays}
 
-    return map_arrow(docs, run, "sid long, hashes binary").join(need, "sid", "left_semi").dropDuplicates(["sid"])
+    return map_arrow(docs.withColumn("mark", F.xxhash64("doc_id")), run, "sid long, hashes binary").join(need, "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def clusters(docs: DataFrame, work: Workspace) -> DataFrame:
     """``key, keep_doc, keep_pos`` of every paragraph key whose cluster occurs twice or more."""
     features = work.save(paragraph_features(docs), "features")
     places = work.save(features.groupBy(F.col("sid").alias("key")).agg(F.sum("occurrences").alias("n"), F.min(F.struct("doc_id", "pos")).alias("place")), "places")
-    comp = link_sets(work, features, lambda pairs: paragraph_arrays(docs, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
+    comp = link_sets(work, features, lambda pairs: paragraph_arrays(docs, needed(work, pairs, places.select(F.col("key").alias("sid"), F.xxhash64("place.doc_id").alias("mark")))))
     named = places.join(comp.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = work.save(named.where("n > 1 or component <> key").unionByName(named.where("n = 1 and component = key").join(comp.select("component").distinct(), "component", "left_semi").select(named.columns)), "named")
     whole = named.groupBy("component").agg(F.sum("n").alias("all"), F.min("place").alias("first")).where("all > 1")
