@@ -45,6 +45,7 @@ HOT = 32  #: a counter below this says nothing about its shingles
 BLOCK = 2048  #: members of a frequent shingle's tile that are compared at once
 SMALL = 8  #: a tile of at most so many members carries no bitmaps; its pairs meet them afterwards, once each
 MAX_BITS = 8192  #: widest bitmap
+LOWEST = 8  #: a member carries its so many lowest tokens, to tell whether a pair also meets in an earlier tile
 _BAND = np.log(4 / 3)
 
 
@@ -331,8 +332,24 @@ def main_pairs(rows: DataFrame, tested: DataFrame, turn: int, seeds: int = 3) ->
     return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
+def met_before(token: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the rows of ``x`` and ``y`` (lowest tokens, padded with ``token``) share a token below ``token``.
+
+    A pair is compared in every tile that both are in, so that the lowest of these
+    always proposes it.
+    """
+    seen = np.zeros(len(x), bool)
+    for k in range(x.shape[1]):
+        seen |= ((x[:, k, None] == y) & (y < token)).any(axis=1)
+    return seen
+
+
 def remaining_pairs(rows: DataFrame, bits: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs across components in tiles that still hold several, by size band and block, past the bound."""
+    """Pairs across components in tiles that still hold several, by size band and block, past the bound.
+
+    Sets that share many tokens meet in many tiles; as a rule only the tile of
+    the lowest common token proposes the pair.
+    """
 
     def run(batches, with_bits):
         held = None  # the open tile
@@ -355,7 +372,8 @@ def remaining_pairs(rows: DataFrame, bits: DataFrame, tested: DataFrame) -> Data
     def tiles(t, edge, with_bits):
         if t.num_rows < 2:
             return
-        sid, n, comp_, asks, home, minor = (t[c].to_numpy() for c in ("sid", "n", "comp", "asks", "home", "minor"))
+        token, sid, n, comp_, asks, home, minor = (t[c].to_numpy() for c in ("token", "sid", "n", "comp", "asks", "home", "minor"))
+        lowest = t["lowest"].combine_chunks()
         size, ask = np.diff(np.r_[edge, len(sid)]), np.add.reduceat(asks, edge)
         use = (ask > 0) & (ask < size) & (np.minimum.reduceat(comp_, edge) != np.maximum.reduceat(comp_, edge))
         bits, out = t["bits"].combine_chunks() if with_bits else None, []
@@ -366,6 +384,10 @@ def remaining_pairs(rows: DataFrame, bits: DataFrame, tested: DataFrame) -> Data
                 maps = np.stack([fold(np.frombuffer(x, np.uint8), short) for x in raw])
                 maps = maps.view(np.uint64) if short % 8 == 0 else maps
             s, k, c, h, mi = (x[lo : lo + m] for x in (sid, n, comp_, home, minor))
+            tok = int(token[lo])
+            low = np.full((m, LOWEST), tok, np.int64)
+            for r, x in enumerate(lowest.slice(lo, m).to_pylist()):
+                low[r, : len(x)] = x
             to, q = np.flatnonzero(asks[lo : lo + m] == 0), np.flatnonzero(asks[lo : lo + m] == 1)
             for part in np.array_split(q, 1 + len(q) * len(to) // 200_000):
                 x, y = np.repeat(part, len(to)), np.tile(to, len(part))
@@ -376,20 +398,23 @@ def remaining_pairs(rows: DataFrame, bits: DataFrame, tested: DataFrame) -> Data
                     ok = similar(k[x], k[y], bound(k[x], k[y], odd))
                     x, y = x[ok], y[ok]
                 if len(x):
+                    first = ~met_before(tok, low[x], low[y])
+                    x, y = x[first], y[first]
                     swap = s[x] > s[y]
                     x, y = np.where(swap, y, x), np.where(swap, x, y)
                     out.append(np.stack([s[x], k[x], s[y], k[y]]))
         if out:
             yield dict(zip(("a", "na", "b", "nb"), np.unique(np.concatenate(out, axis=1), axis=1), strict=True))
 
-    rows = rows.withColumn("minor", F.col("comp") != F.col("main")).withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int")).drop("main")
+    lowest = rows.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LOWEST).alias("lowest"))
+    rows = rows.join(lowest, "sid").withColumn("minor", F.col("comp") != F.col("main")).withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int")).drop("main")
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(_BAND)) + F.lit(1e-9)).cast("int")
     rows = rows.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     rows = rows.withColumn("home", F.col("own") == F.col("band")).drop("own")
     target = rows.withColumn("asks", F.lit(0)).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     asking = rows.where("minor").withColumn("asks", F.lit(1)).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     both = target.unionByName(asking)
-    columns, ddl = ["token", "band", "blk", "asks", "sid", "n", "comp", "home", "minor"], "a long, na long, b long, nb long"
+    columns, ddl = ["token", "band", "blk", "asks", "sid", "n", "comp", "home", "minor", "lowest"], "a long, na long, b long, nb long"
 
     def dealt(tiles, more=()):
         return tiles.select(*columns, *more).repartition("token", "band", "blk").sortWithinPartitions("token", "band", "blk", "asks")
