@@ -3,8 +3,11 @@
 A noisy channel writes words with look-alike characters, letters spaced out or
 repeated.  Suspicious tokens become a lattice of what each character may stand
 for; a Viterbi decoder finds the likeliest letters under a trigram character
-language model, counted over all texts.  The words of a text, restored and as
-they are, are features of a logistic regression fitted on labelled documents.
+language model, counted over all texts.  Characters set apart by blanks (runs of
+``SPACED`` or more words of one character, repeated or not, one of them a letter)
+are a lattice too, decoded as one word and with optional word boundaries.  The
+words of a text, restored and as they are, are features of a logistic regression
+fitted on labelled documents.
 
 The model is fitted on at most ``TRAIN_DOCS`` labelled rows (those with the
 smallest hash of doc_id), none of them held out: rows whose crc32 of doc_id as
@@ -36,6 +39,7 @@ LOOKALIKE = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "#": "h", "%": "x",
 }
 SUBSTITUTE, REPEAT, SEPARATOR = 1.0, 0.4, 0.8  # channel costs in nats
+SPACED = 3
 
 _LETTER = np.zeros(256, np.int64)
 _LETTER[97:123] = np.arange(1, 27)
@@ -76,33 +80,47 @@ class Decoder:
         self.cost = -np.log(n / n.sum(axis=2, keepdims=True))
         self.known: dict[str, str] = {}
 
-    def __call__(self, token: str) -> str:
-        out = self.known.get(token)
+    def __call__(self, token: str, spaced: bool = False) -> str:
+        """The likeliest letters; of a spaced token with blanks between words."""
+        if len(token) > 40:  # rarely met again
+            return self._decode(token, spaced)
+        out = self.known.get((token, spaced))
         if out is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            out = self.known[token] = self._decode(token)
+            out = self.known[token, spaced] = self._decode(token, spaced)
         return out
 
-    def _decode(self, token: str) -> str:
-        cost, states, before = self.cost, {(0, 0): (0.0, "")}, ""
-        for ch in token.lower():
+    def _decode(self, token: str, spaced: bool) -> str:
+        cost, states, before, done = self.cost, {(0, 0): (0.0, "")}, "", []
+        for at, ch in enumerate(token.lower(), 1):
             if "a" <= ch <= "z":
-                options = [(ch, 0.0)]
+                options = [(ch, ord(ch) - 96, 0.0)]
+            elif ch.isalnum() and ch not in LOOKALIKE:  # a letter outside the model stands for itself
+                options = [(ch, 0, 0.0)]
             else:
-                options = [(x, SUBSTITUTE + (1.0 if len(LOOKALIKE[ch]) > 2 else 0.0)) for x in LOOKALIKE.get(ch, "")]
+                options = [(x, ord(x) - 96, SUBSTITUTE + (1.0 if len(LOOKALIKE[ch]) > 2 else 0.0)) for x in LOOKALIKE.get(ch, "")]
             skip = REPEAT if ch == before else SEPARATOR if not ch.isalnum() else None
+            if spaced:
+                for (a, b), (c, s) in list(states.items()):
+                    total = c + cost[a, b, 0]
+                    if b and total < states.get((b, 0), (np.inf,))[0]:
+                        states[b, 0] = (total, s + " ")
             following: dict = {}
             for (a, b), (c, s) in states.items():
                 if skip is not None and (c + skip) < following.get((a, b), (np.inf,))[0]:
                     following[a, b] = (c + skip, s)
-                for x, extra in options:
-                    k = ord(x) - 96
+                for x, k, extra in options:
                     total = c + extra + cost[a, b, k]
                     if total < following.get((b, k), (np.inf,))[0]:
                         following[b, k] = (total, s + x)
-            states, before = following or {(0, 0): (next(iter(states.values()))[0], "")}, ch
-        return min((c + cost[a, b, 0], s) for (a, b), (c, s) in states.items())[1]
+            states, before = following, ch
+            if at % 32 == 0:  # what all paths share is settled
+                least, most = min(s for _, s in states.values()), max(s for _, s in states.values())
+                n = next((k for k, x in enumerate(least) if x != most[k]), len(least))
+                done.append(least[:n])
+                states = {k: (c, s[n:]) for k, (c, s) in states.items()}
+        return "".join(done) + min((c + cost[a, b, 0], s) for (a, b), (c, s) in states.items())[1]
 
 
 def word_features(texts: tn.Texts, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
@@ -132,21 +150,26 @@ def word_features(texts: tn.Texts, decoder: Decoder) -> tuple[np.ndarray, np.nda
     letters = n_letter[end] - n_letter[start]
     inner = n_odd[np.maximum(right, left)] - n_odd[left]
     whole = n_odd[end] - n_odd[start]
-    short = end - start <= 40
-    odd = short & (letters >= 2) & ((inner > 0) | ((whole > 0) & (whole <= 2) & (letters <= 12)) | (triple[end] - triple[start] > 0))
+    odd = (letters >= 2) & ((inner > 0) | (whole > 0) | (triple[end] - triple[start] > 0))
     restored, owner = [], []
     raw = d.tobytes()
     for k in np.flatnonzero(odd).tolist():
-        token = raw[start[k] : end[k]]
-        if token.isascii():
-            restored.append(decoder(token.decode()))
-            owner.append(doc[k])
-    single = (right - left == 1) & (letters == 1)
-    edge = np.flatnonzero(np.diff(np.r_[0, single.astype(np.int8), 0]))
-    for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # runs of single letters
-        if 3 <= hi - lo <= 20 and doc[lo] == doc[hi - 1]:
-            restored.append("".join(chr(d[left[k]]) for k in range(lo, hi)))
-            owner.append(doc[lo])
+        restored.append(decoder(raw[start[k] : end[k]].decode()))
+        owner.append(doc[k])
+    # words of one character, repeated or not: a trimmed letter or digit, or a whole mark
+    a, b = np.where(some, left, start), np.where(some, right, end)
+    change = np.r_[0, np.cumsum(d[1:] != d[:-1]), 0][: len(d) + 1]
+    single = (change[b - 1] == change[a]) & ((_LETTER[d[a]] > 0) | _ODD[d[a]])
+    joined = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
+    first = np.flatnonzero(single & ~np.r_[False, joined][: len(single)])
+    last = np.flatnonzero(single & ~np.r_[joined, False][: len(single)]) + 1
+    n_single = np.r_[0, np.cumsum(single & (_LETTER[d[a]] > 0))]
+    long = (last - first >= SPACED) & (n_single[last] > n_single[first])
+    for lo, hi in zip(first[long].tolist(), last[long].tolist(), strict=True):
+        token = b"".join(raw[x:y] for x, y in zip(a[lo:hi].tolist(), b[lo:hi].tolist(), strict=True)).decode()
+        words = {token, decoder(token), *decoder(token, spaced=True).split()}
+        restored += sorted(words)
+        owner += [doc[lo]] * len(words)
     if restored:
         parts = [r.encode() for r in restored]
         cut = np.r_[0, np.cumsum([len(p) for p in parts])]

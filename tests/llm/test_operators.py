@@ -245,6 +245,30 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity(table(spark, rows[:3]), labels.limit(0)).collect()} != {None}
 
 
+def test_toxicity_of_mixed_noise(spark):
+    """Spacing by blanks is decoded too, alone and with other noise, at any length and next to any character."""
+    from maploom.llm.toxicity import toxicity
+
+    noise = ["i d i o t", "y o u i d i o t", "a i d i o t", "I i d i o t", "i d 1 o t", "i d i i i o t", "ii d i ooo t", "! d ! 0 t", "i . d . i . o . t", "y o u i d i o t m o r o n y o u i d i o t", "\u201c1d10t\u201d", ("-" * 12).join("idiot"), "m 0 r 0 n,"]
+    rows = [(i, prose(1000 + i, 30) + (" you idiot moron" if i % 3 == 0 else " fine day")) for i in range(240)] + [(900 + k, f"{x} {prose(3, 20)}") for k, x in enumerate(noise)] + [(990, "f i n e d a y"), (991, "d a y " * 300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity(table(spark, rows), labels).collect()}
+    assert [x for k, x in enumerate(noise) if not got[900 + k]] == [] and got[990] == got[991] == 0
+
+
+def test_spaced_words_are_cut_by_document():
+    import numpy as np
+
+    from maploom.llm import textnum as tn
+    from maploom.llm.toxicity import Decoder, word_features
+
+    texts = tn.Texts(np.frombuffer(b"a i d" + b"i o t m", np.uint8), np.array([0, 5, 12]))
+    owner, feats = word_features(texts, Decoder(np.zeros(27**3, np.int64)))
+    want = tn.Texts(np.frombuffer(b"aidiotm", np.uint8), np.array([0, 7]))
+    for k, (lo, hi) in enumerate([(0, 3), (3, 7)]):
+        assert want.span_hash(np.array([lo]), np.array([hi]))[0] in feats[owner == k]
+
+
 def test_warc(spark):
     from maploom.llm.common import Workspace
     from maploom.llm.warc import read, round_trip, write
