@@ -40,7 +40,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .token_files import token_files
 
-    return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, plain_specials=False)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,29 +79,39 @@ def _cuts(texts: tn.Texts) -> np.ndarray:
     return cut
 
 
-class ByteBpe:
-    """Encoder of a worker for a byte-level BPE tokenizer file."""
+def _tokenizer(raw: str, plain_specials: bool):
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_str(raw)
+    if plain_specials:
+        out.encode_special_tokens = True
+    return out
 
-    def __init__(self, raw: str):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(raw)
-        self.tokenizer.encode_special_tokens = True
+class ByteBpe:
+    """Encoder of a worker for a byte-level BPE tokenizer file; no segment ends in or next to an added token's literal."""
+
+    def __init__(self, raw: str, plain_specials: bool):
+        self.tokenizer = _tokenizer(raw, plain_specials)
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.segments = SegmentEncoder(lambda parts: [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)])
 
     def encode(self, texts: tn.Texts) -> tuple[np.ndarray, np.ndarray]:
-        return self.segments(texts, *spans(texts, _cuts(texts)))
+        cut, raw = _cuts(texts), texts.data.tobytes()
+        for literal in self.added:
+            at = raw.find(literal)
+            while at >= 0:
+                cut[max(0, at - 1) : at + len(literal) + 1] = False
+                at = raw.find(literal, at + 1)
+        return self.segments(texts, *spans(texts, cut))
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, plain_specials: bool) -> bytes:
     """A zstandard dictionary from the documents with the smallest hashes of doc_id."""
     import zstandard
 
     rows = docs.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring(F.coalesce("text", F.lit("")), 1, 8 * SAMPLE_IDS).alias("text")).limit(SAMPLE_DOCS).collect()
-    from tokenizers import Tokenizer
-
-    bpe = Tokenizer.from_str(tokenizer)
-    bpe.encode_special_tokens = True
+    bpe = _tokenizer(tokenizer, plain_specials)
     ids = [np.array(x.ids[:SAMPLE_IDS], "<u4").tobytes() for x in bpe.encode_batch_fast([r.text for r in rows], add_special_tokens=False)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, [x for x in ids if x]).as_bytes()
@@ -109,12 +119,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
         return (b"".join(ids)[:DICT_BYTES] or b"\0" * 8) + b"\0" * 8
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, work: Workspace) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, work: Workspace, plain_specials: bool = True) -> DataFrame:
     """Write the token files; a saved index ``file, doc_id, place, offset, size, n_tokens``."""
     spark = docs.sparkSession
     with open(tokenizer_path) as f:
         tokenizer = f.read()
-    dictionary = train_dictionary(docs, tokenizer)
+    dictionary = train_dictionary(docs, tokenizer, plain_specials)
     digest = hashlib.sha256(dictionary).digest()
     base = work.path("tokens")
     fs, root = file_system(base)
@@ -127,7 +137,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, work: Workspace) ->
         import zstandard
 
         tokenizer, dictionary = handle.value
-        bpe = kept(("bpe", zlib.crc32(tokenizer.encode())), lambda: ByteBpe(tokenizer))
+        bpe = kept(("bpe", plain_specials, zlib.crc32(tokenizer.encode())), lambda: ByteBpe(tokenizer, plain_specials))
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         fs, root = file_system(base)
         context = TaskContext.get()
@@ -201,13 +211,17 @@ def read(spark: SparkSession, base: str, index: DataFrame, max_gap: int = 1 << 1
     return map_arrow(rows, run, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Write, read back and describe: ``doc_id, start, n_tokens, ids_crc32``."""
+def token_files(docs: DataFrame, tokenizer_path: str, end_id: int, plain_specials: bool = True) -> DataFrame:
+    """Write, read back and describe: ``doc_id, start, n_tokens, ids_crc32``.
+
+    Without ``plain_specials`` the literal of a special token in a text is that
+    token, as the tokenizer file says; with it the literal is encoded as text.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast(T.LongType()))
     work = Workspace(spark, "tokens")
-    index = write(docs, tokenizer_path, end_id, work)
+    index = write(docs, tokenizer_path, end_id, work, plain_specials)
     back = work.save(read(spark, index._tokens_at, index), "back")
     # positions: sums per stretch of a file, then over the (few) stretches, then inside a stretch
     step = 4096

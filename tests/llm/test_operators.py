@@ -208,6 +208,26 @@ def test_token_files(spark):
     assert token_files(table(spark, []), path, 2).count() == 0
 
 
+def test_token_files_with_special_literals(spark, tmp_path):
+    """The query's ids are those of the tokenizer file as it is."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from maploom.llm.queries import op6_token_files
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    rows = [*hard_cases(), (710, f"one {end} two"), (711, f"a{end}b, c{end}.{end}{end} |{end}|"), (712, f"x y{end}z w\n{end}\n<|endof text|> <|endoftext"), (713, "|> d"), (714, f"{end} it's {end}'s")]
+    table(spark, rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in op6_token_files(spark, str(tmp_path)).collect()}
+    at, want = 0, {}
+    for i, x in sorted(rows):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        want[i] = (at, len(ids), zlib.crc32(b"".join(k.to_bytes(4, "little") for k in ids)))
+        at += len(ids)
+    assert got == want
+
+
 @pytest.mark.parametrize("bound", [1000, 0])
 def test_paragraphs(spark, bound):
     from maploom.llm.paragraph_dedup import MIN_WORDS, paragraph_dedup
