@@ -44,7 +44,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     from maploom.llm.sentencepiece_codec import encode
 
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_crc32", "round_trip")
+    return encode(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_crc32", "round_trip", "n_differ")
 
 
 STAGES = [

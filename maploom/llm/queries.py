@@ -32,7 +32,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .sentencepiece_codec import encode
 
-    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_crc32", "round_trip")
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_crc32", "round_trip", "n_differ")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

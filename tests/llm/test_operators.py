@@ -171,6 +171,47 @@ def test_sentencepiece(spark):
     assert back == {i: (t or "").replace("▁", " ") for i, t in rows}
 
 
+def test_sentencepiece_rows_are_those_of_the_rebuilt_model(spark, tmp_path, monkeypatch):
+    """A wrong rebuild or a wrong cut shows in the ids and in ``n_differ`` of the document, by the query too."""
+    import numpy as np
+    import public_tokenizers
+
+    from maploom.llm import sentencepiece_codec as c
+    from maploom.llm import textnum as tn
+    from maploom.llm.queries import op4_sentencepiece
+
+    table(spark, hard_cases()).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op4_sentencepiece(spark, str(tmp_path)).collect()
+    assert len(rows) == len(hard_cases()) and {r.n_differ for r in rows} == {0}
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        raw = f.read()
+    data = b"one two three" + b"four"
+    texts = tn.Texts(np.frombuffer(data, np.uint8), np.array([0, 13, 17]))
+
+    def encoded(codec):
+        ids, count = codec.encode(texts)
+        return ids.tolist(), codec.differ(texts, ids, np.r_[0, np.cumsum(count)])
+
+    right, differ = encoded(c.Codec(raw))
+    assert differ == [0, 0]
+    build = c.Model.tokenizer
+
+    def no_merges(self):
+        from tokenizers import models
+
+        out = build(self)
+        out.model = models.BPE({p: k for k, (p, _, _) in enumerate(self.pieces)}, [], unk_token=self.pieces[self.unk_id][0], fuse_unk=True, byte_fallback=True)
+        return out
+
+    monkeypatch.setattr(c.Model, "tokenizer", no_merges)
+    wrong, differ = encoded(c.Codec(raw))
+    assert wrong != right and min(differ) > 0
+    monkeypatch.undo()
+    monkeypatch.setattr(c, "spans", lambda t, cut: (np.array([0, 2, 13]), np.array([2, 13, 17]), np.array([0, 0, 1])))
+    differ = encoded(c.Codec(raw))[1]
+    assert differ[0] > 0 and differ[1] == 0
+
+
 def test_unigram_model_is_rebuilt():
     """A unigram model with scores, built here as a protobuf by hand."""
     import struct
