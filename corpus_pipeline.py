@@ -1,8 +1,12 @@
 """From raw documents to token ids: five stages, each on all that its predecessor kept.
 
 Quality rules drop failing documents; line dedup shortens texts; of each group of
-near duplicates the document with the smallest doc_id stays; documents that hold a
-benchmark item go; the rest is encoded.
+near duplicates one row stays, the first by doc_id (null comes last) and text;
+documents that hold a benchmark item go; the rest is encoded.
+
+Rows are told apart by marks of their own, never by doc_id: a null doc_id is like
+any other, and rows that share a doc_id are judged by their own texts.  Texts
+without words are near duplicates of nothing; of equal rows of them one stays.
 """
 
 from __future__ import annotations
@@ -27,10 +31,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from maploom.llm.common import Workspace, release
     from maploom.llm.jaccard_join import jaccard_join
 
-    kept = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    work = Workspace(spark, "near")
+    docs = work.save(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_join(docs.select(F.col("_row").alias("doc_id"), "text"))
+    found = work.save(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"), (F.col("n_shingles") > 0).alias("worded")), "components")
+    rows = docs.select("_row", "doc_id").join(found, "_row")
+    # of a component's rows those with the first doc_id; texts are compared only where that is not a single row
+    place = F.struct(F.col("doc_id").isNull(), "doc_id")
+    least = rows.where("worded").groupBy("component", "doc_id").agg(F.min("_row").alias("_row"), F.count("*").alias("n")).groupBy("component").agg(F.min_by(F.struct("doc_id", "_row", "n"), place).alias("x"))
+    least = work.save(least.select("component", "x.*"), "least")
+    kept, tied, blank = least.where("n = 1").select("_row"), least.where("n > 1"), found.where("not worded").select("_row")
+    if not tied.isEmpty():
+        tied = tied.select(F.col("component").alias("c"), F.col("doc_id").alias("id"))
+        tied = rows.where("worded").join(tied, F.expr("component = c and doc_id <=> id")).select("_row", "component").join(docs.select("_row", "text"), "_row")
+        kept = kept.unionByName(tied.groupBy("component").agg(F.min(F.struct("text", "_row")).alias("x")).select("x._row"))
+    if not blank.isEmpty():
+        kept = kept.unionByName(docs.join(blank, "_row", "left_semi").groupBy("doc_id", "text").agg(F.min("_row").alias("_row")).select("_row"))
+    release(spark)
+    return docs.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ nothing.  Repeated documents give repeated rows, equal items a row each.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,21 +120,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_words: int =
     one pass without a shuffle.  A larger one is searched in parts of that size,
     a pass for each, so memory stays bounded and nothing is left out.
     """
-    spark = docs.sparkSession
+    docs = docs_of(docs, "doc_id", "text")
+    out = None
+    for handle in _parts(docs.sparkSession, benchmark, broadcast_words):
+        found = map_arrow(docs, _rows(lambda handle=handle: Index(handle.value)), COLUMNS)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _parts(spark, benchmark: DataFrame, broadcast_words: int):
+    """Broadcasts of the benchmark's items, of about ``broadcast_words`` words each."""
     small_batches(spark)
-    docs, items = docs_of(docs, "doc_id", "text"), benchmark.select(F.col("item_id").cast("long"), "text")
+    items = benchmark.select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-int(total) // (2 * broadcast_words)))  # a word has two characters at least, with its separator
-    out = None
     for k in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        handle = spark.sparkContext.broadcast([(r.item_id, r.text) for r in some.collect()])
-        found = map_arrow(docs, _rows(lambda handle=handle: Index(handle.value)), COLUMNS)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield spark.sparkContext.broadcast([(r.item_id, r.text) for r in some.collect()])
+
+
+def _without(handle):
+    def run(batches):
+        index = Index(handle.value)
+        with np.errstate(over="ignore"):
+            for batch, texts in tn.chunks(batches):
+                keep = np.ones(len(texts), bool)
+                keep[[r[0] for r in index.search(texts)]] = False
+                yield batch.filter(pa.array(keep))
+
+    return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    gone = contamination(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; each row by its own text, whatever its doc_id."""
+    for handle in _parts(docs.sparkSession, benchmark, broadcast_words):
+        docs = docs.mapInArrow(_without(handle), docs.schema)
+    return docs

@@ -387,3 +387,20 @@ def test_pipeline(spark, tmp_path):
     item = shingles(prose(42, 30))
     want = {i for i, t in good if group[i] == i and 100 * len(item & shingles(t)) < 75 * len(item)}
     assert got == want and 6002 not in want and 6001 not in want
+
+
+def test_pipeline_with_null_ids_and_repeated_rows(spark, tmp_path):
+    """Exactly one row of each component stays, by (doc_id, null last; text); rows are judged by their own texts."""
+    import corpus_pipeline
+    from maploom.llm.decontaminate import clean
+
+    base = prose(60, 120)
+    near = " ".join(["changed", *base.split()[1:]])
+    rows = [(None, prose(61, 80)), (None, prose(62, 80)), (None, prose(62, 80)), (1, prose(63, 80)), (1, prose(63, 80)), (1, prose(64, 80)), (None, base), (7, near), (7, base), (9, base), (2, ""), (2, ""), (3, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, str(tmp_path)).collect())
+    assert got == Counter([(None, prose(61, 80)), (None, prose(62, 80)), (1, prose(63, 80)), (1, prose(64, 80)), (7, min(near, base)), (2, ""), (3, ""), (None, None)])
+    items = spark.createDataFrame([(1, prose(62, 80)), (2, prose(64, 80))], "item_id int, text string")
+    for words in (10**6, 100):
+        left = clean(docs, items, words)
+        assert left.columns == docs.columns and Counter((r.doc_id, r.text) for r in left.collect()) == Counter(x for x in rows if x[1] not in (prose(62, 80), prose(64, 80)))
