@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from contextlib import contextmanager
+from collections.abc import Callable
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +103,37 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (x.strip().split(" ", 1) for x in ddl.split(","))])
 
 
-def map_arrow(df: DataFrame, fn, ddl: str) -> DataFrame:
-    """mapInArrow for a generator of dicts of columns or record batches."""
+_MADE: dict = {}
+
+
+def kept(key, make: Callable):
+    """``make()``, kept in the Python worker for later tasks with the same key; one at a time."""
+    if key not in _MADE:
+        forget()
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def forget() -> None:
+    """Drop what :func:`kept` holds in this Python worker and give the memory back to the system."""
+    if _MADE:
+        _MADE.clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, fn, ddl: str, keeps: bool = False) -> DataFrame:
+    """mapInArrow for a generator of dicts of columns or record batches.
+
+    Workers are used again by other operators' tasks; only a function that ``keeps``
+    something leaves it there.
+    """
 
     def run(batches):
         schema = arrow_schema(ddl)
+        if not keeps:
+            forget()
         with np.errstate(over="ignore"):
             for out in fn(batches):
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out, schema=schema)

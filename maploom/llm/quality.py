@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import textnum as tn
-from .common import docs_of, map_arrow, small_batches
+from .common import docs_of, forget, map_arrow, small_batches
 
 #: n-gram length: largest share (percent) of characters inside duplicated n-grams.
 COVERAGE = {5: 45, 6: 42, 7: 39, 8: 36, 9: 33, 10: 30}
@@ -109,6 +109,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text is kept, with all their columns; order of columns unchanged."""
 
     def run(batches):
+        forget()
         with np.errstate(over="ignore"):
             for batch, texts in tn.chunks(batches):
                 yield batch.filter(_mask(measure(texts)["kept"]))

@@ -14,18 +14,8 @@ import numpy as np
 
 from . import textnum as tn
 
-#: Distinct segments kept per worker (and eight times as many ids).
-KEEP = 600_000
-
-_MADE: dict = {}
-
-
-def kept(key, make: Callable):
-    """``make()``, kept in the Python worker for later tasks with the same key; one at a time."""
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = make()
-    return _MADE[key]
+#: Distinct segments kept per worker (and eight times as many ids); new ones are encoded so many at once.
+KEEP, AT_ONCE = 1_000_000, 8192
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -38,52 +28,75 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class SegmentEncoder:
-    """Ids of whole chunks, from an encoder of lists of byte strings to lists of ids."""
+    """Ids of whole chunks, from an encoder of lists of byte strings to lists of ids.
+
+    Known segments are found in an open-addressing table of numpy arrays, so a
+    worker holds about 24 bytes a segment besides its ids.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
         self.encode = encode
-        self._clear()
-
-    def _clear(self):
-        self.place: dict[int, int] = {}
+        self._clear(KEEP)
+
+    def _clear(self, room: int) -> None:
+        """An empty table for ``room`` segments, at most half full."""
+        self.room, self.n, self.used = room, 0, 0
+        slots = 1 << (2 * room - 1).bit_length()
+        self.mask = tn.U64(slots - 1)
+        self.key, self.at = np.zeros(slots, tn.U64), np.zeros(slots, np.int32)
+        self.start, self.length = np.empty(room, np.int64), np.empty(room, np.int32)
         self.ids = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.start = np.empty(KEEP * 2, np.int64)
-        self.length = np.empty(KEEP * 2, np.int64)
 
-    def _add(self, hashes: list[int], parts: list[list[int]]) -> None:
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each segment, -1 for unknown ones."""
+        out = np.full(len(h), -1, np.int32)
+        open_, slot = np.arange(len(h)), (h & self.mask).astype(np.int64)
+        while len(open_):
+            key = self.key[slot]
+            hit = key == h[open_]
+            out[open_[hit]] = self.at[slot[hit]]
+            go = ~hit & (key != 0)
+            open_, slot = open_[go], (slot[go] + 1) & int(self.mask)
+        return out
+
+    def _add(self, h: np.ndarray, parts: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         need = self.used + int(sizes.sum())
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(max(need, len(self.ids)), np.uint32)])
-        n = len(self.place)
-        if n + len(parts) > len(self.start):
-            grow = np.empty(len(self.start) + len(parts), np.int64)
-            self.start, self.length = np.concatenate([self.start, grow]), np.concatenate([self.length, grow])
-        self.start[n : n + len(parts)] = self.used + np.cumsum(sizes) - sizes
-        self.length[n : n + len(parts)] = sizes
+        number = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.start[number], self.length[number] = self.used + np.cumsum(sizes) - sizes, sizes
         self.ids[self.used : need] = np.fromiter(chain.from_iterable(parts), np.uint32, need - self.used)
-        self.used = need
-        self.place.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.used, self.n = need, self.n + len(h)
+        slot = (h & self.mask).astype(np.int64)
+        while len(h):  # of those that want a free slot the first one gets it
+            free = np.flatnonzero(self.key[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            got = free[first]
+            self.key[slot[got]], self.at[slot[got]] = h[got], number[got]
+            rest = np.ones(len(h), bool)
+            rest[got] = False
+            h, number, slot = h[rest], number[rest], (slot[rest] + 1) & int(self.mask)
 
     def __call__(self, texts: tn.Texts, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the segments, in order, and the number of ids of each document."""
-        if len(self.place) > KEEP:
-            self._clear()
         h = texts.span_hash(start, end)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        known = distinct.tolist()
-        new = [k for k, x in enumerate(known) if x not in self.place]
-        if new:
-            raw = texts.data.tobytes()
-            at = first[new]
-            self._add([known[k] for k in new], self.encode([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
-        index = np.fromiter((self.place[x] for x in known), np.int64, len(known))[inverse]
-        length = self.length[index]
-        ids = self.ids[ragged(self.start[index], length)]
-        if self.used > 8 * KEEP:
-            self._clear()
-        return ids, np.bincount(doc, length, minlength=len(texts)).astype(np.int64)
+        h[h == 0] = 1
+        index = self._find(h)
+        miss = np.flatnonzero(index < 0)
+        if len(miss):
+            new, first = np.unique(h[miss], return_index=True)
+            if self.n + len(new) > self.room or self.used > 8 * KEEP:  # anew, with what this chunk needs
+                miss = np.arange(len(h))
+                new, first = np.unique(h, return_index=True)
+                self._clear(max(KEEP, len(new)))
+            raw, at = texts.data.tobytes(), miss[first]
+            for k in range(0, len(new), AT_ONCE):
+                part = at[k : k + AT_ONCE]
+                self._add(new[k : k + AT_ONCE], self.encode([raw[a:b] for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)]))
+            index[miss] = self._find(h[miss])
+        length = self.length[index].astype(np.int64)
+        return self.ids[ragged(self.start[index], length)], np.bincount(doc, length, minlength=len(texts)).astype(np.int64)
 
 
 def spans(texts: tn.Texts, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

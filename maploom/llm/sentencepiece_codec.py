@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textnum as tn
-from .common import docs_of, lists, map_arrow, small_batches
-from .segments import SegmentEncoder, kept, ragged, spans
+from .common import docs_of, kept, lists, map_arrow, small_batches
+from .segments import SegmentEncoder, ragged, spans
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                 same.append(codec.decode(mine) == texts.text(k).replace(MARK.encode(), b" "))
             yield {"doc_id": batch.column("doc_id").cast("int64"), "ids": lists(cut, ids.astype(np.int32), pa.int32()), "n_tokens": count, "ids_crc32": crc, "round_trip": same, "n_differ": codec.differ(texts, ids, cut)}
 
-    return map_arrow(docs_of(docs, "doc_id", "text"), run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean, n_differ long")
+    return map_arrow(docs_of(docs, "doc_id", "text"), run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean, n_differ long", keeps=True)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

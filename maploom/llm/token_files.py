@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum as tn
-from .common import Workspace, docs_of, map_arrow, small_batches
-from .segments import SegmentEncoder, kept, spans
+from .common import Workspace, docs_of, kept, map_arrow, small_batches
+from .segments import SegmentEncoder, spans
 
 MAGIC = b"MLTK0001"
 #: The dictionary is trained on at most so many documents, of at most so many ids each.

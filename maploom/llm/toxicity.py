@@ -27,9 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import Workspace, docs_of, lists, map_arrow, small_batches
+from .common import Workspace, docs_of, kept, lists, map_arrow, small_batches
 from .line_dedup import is_in
-from .segments import kept
 
 TRAIN_DOCS, FEATURES, THRESHOLD = 20_000, 4096, 0.3
 
@@ -209,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams, work: Workspace) -> tuple[
             pairs = np.unique(np.stack([owner, feats.view(np.int64)]), axis=1)
             yield {"toxic": batch.column("toxic").cast("int32"), "feature": lists(np.searchsorted(pairs[0], np.arange(len(texts) + 1)), pairs[1], pa.int64())}
 
-    rows = work.save(map_arrow(train, list_features, "toxic int, feature array<long>"), "train-features")
+    rows = work.save(map_arrow(train, list_features, "toxic int, feature array<long>", keeps=True), "train-features")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     positive, negative = n.get(1, 0), n.get(0, 0)
     if not positive or not negative:
@@ -272,5 +271,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             yield {"doc_id": batch.column("doc_id"), "score": score, "predicted": (score >= THRESHOLD).astype(np.int32)}
 
-    scored = map_arrow(docs.withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, score double, predicted int")
+    scored = map_arrow(docs.withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, score double, predicted int", keeps=True)
     return scored.select("doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
