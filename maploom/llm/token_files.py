@@ -7,13 +7,17 @@ little-endian signed 64-bit integers per document; the number of documents and
 the offset of the index (8 bytes each).  The dictionary is a file of its own,
 named by its hash, and is trained on a bounded sample of id arrays.
 
-Documents are written in ascending order of doc_id: range partitions of doc_id,
-sorted, one file each.  A file gets its name from the task's attempt, and only
-the attempts whose rows Spark commits are listed in the saved index, so a lost
-executor leaves at worst a file that nobody reads.
+Texts are encoded and compressed where they are read; the frames are dealt out by
+ranges of doc_id, sorted, and written to one file for each range.  A file gets its
+name from the task's attempt, and only the attempts whose rows Spark commits are
+listed in the saved index, so a lost executor leaves at worst a file that nobody
+reads.
 
 Defined results: a null or empty text has only the end id.  Rows with the same
-doc_id are ordered by text.  An empty table gives no rows.
+doc_id (a null one comes first) are in one file, ordered by number of ids and then
+by frame; repeated rows keep a frame each.  A very long text is encoded whole, as a
+chunk of its own.  Columns other than doc_id and text are never read.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ from .common import Workspace, docs_of, kept, map_arrow, small_batches
 from .segments import SegmentEncoder, spans
 
 MAGIC = b"MLTK0001"
-#: The dictionary is trained on at most so many documents, of at most so many ids each.
+#: The dictionary is trained on at most so many documents, a block of at most so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 500, 64 << 10
+#: Bytes of a file that one task reads back.
+READ_BYTES = 16 << 20
 LEVEL = 1
 #: Bytes that may begin a white-space character other than ASCII.
 _WIDE = np.zeros(256, bool)
@@ -106,71 +112,129 @@ class ByteBpe:
         return self.segments(texts, *spans(texts, cut))
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, plain_specials: bool) -> bytes:
-    """A zstandard dictionary from the documents with the smallest hashes of doc_id."""
+def _sample(docs: DataFrame, handle, plain_specials: bool) -> list[bytes]:
+    """Blocks of ids for the dictionary: one of each of the documents with the smallest hashes of doc_id.
+
+    A block of up to SAMPLE_IDS ids begins at a hashed place of the whole text.  Only
+    hashes of doc_id and the blocks come to the driver.
+    """
+    marked = docs.withColumn("h", F.xxhash64("doc_id"))
+    few = marked.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)  # at most SAMPLE_DOCS longs are broadcast
+
+    def run(batches):
+        tokenizer = _tokenizer(handle.value, plain_specials)
+        seen = set()
+        for batch in batches:
+            h, text = batch.column("h").to_pylist(), batch.column("text").to_pylist()
+            new = [k for k in range(len(h)) if (h[k], text[k]) not in seen]
+            seen.update((h[k], text[k]) for k in new)
+            out = []
+            for k, x in zip(new, tokenizer.encode_batch_fast([text[k] or "" for k in new], add_special_tokens=False), strict=True):
+                at = zlib.crc32(struct.pack("<q", h[k])) % max(1, len(x.ids) - SAMPLE_IDS + 1)
+                out.append(np.array(x.ids[at : at + SAMPLE_IDS], "<u4").tobytes())
+            yield {"h": [h[k] for k in new], "block": out}
+
+    blocks = map_arrow(marked.join(F.broadcast(few), "h", "left_semi").select("h", "text"), run, "h long, block binary")
+    rows = blocks.groupBy("h").agg(F.min("block").alias("block")).collect()  # SAMPLE_DOCS blocks of 4 * SAMPLE_IDS bytes at most
+    return [bytes(r.block) for r in sorted(rows, key=lambda r: r.h) if r.block]
+
+
+def train_dictionary(blocks: list[bytes]) -> bytes:
+    """A zstandard dictionary from serialized id arrays."""
     import zstandard
 
-    rows = docs.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring(F.coalesce("text", F.lit("")), 1, 8 * SAMPLE_IDS).alias("text")).limit(SAMPLE_DOCS).collect()
-    bpe = _tokenizer(tokenizer, plain_specials)
-    ids = [np.array(x.ids[:SAMPLE_IDS], "<u4").tobytes() for x in bpe.encode_batch_fast([r.text for r in rows], add_special_tokens=False)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, [x for x in ids if x]).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, blocks).as_bytes()
     except zstandard.ZstdError:  # too few samples: raw content serves as dictionary
-        return (b"".join(ids)[:DICT_BYTES] or b"\0" * 8) + b"\0" * 8
+        return (b"".join(blocks)[:DICT_BYTES] or b"\0" * 8) + b"\0" * 8
+
+
+def range_bounds(docs: DataFrame) -> np.ndarray:
+    """Smallest doc_id of each file but the first; as many files as the input has partitions.
+
+    Only doc_id is read and shuffled; a number for each file comes to the driver.
+    """
+    n = docs.rdd.getNumPartitions()
+    if n < 2:
+        return np.empty(0, np.int64)
+    ids = docs.select("doc_id").where("doc_id is not null").repartitionByRange(n, "doc_id")
+    least = ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("x")).toPandas()["x"].to_numpy(np.int64)
+    return np.sort(least)[1:]
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, work: Workspace, plain_specials: bool = True) -> DataFrame:
-    """Write the token files; a saved index ``file, doc_id, place, offset, size, n_tokens``."""
+    """Write the token files; a saved index ``file, doc_id, place, offset, size, n_tokens, part``.
+
+    Texts are encoded and compressed where they are read; only the frames are
+    dealt out by ranges of doc_id.
+    """
     spark = docs.sparkSession
     with open(tokenizer_path) as f:
         tokenizer = f.read()
-    dictionary = train_dictionary(docs, tokenizer, plain_specials)
+    raw = spark.sparkContext.broadcast(tokenizer)
+    dictionary = train_dictionary(_sample(docs, raw, plain_specials))
     digest = hashlib.sha256(dictionary).digest()
     base = work.path("tokens")
     fs, root = file_system(base)
     fs.create_dir(root)
     with fs.open_output_stream(f"{root}/{digest.hex()}.dict") as f:
         f.write(dictionary)
-    handle = spark.sparkContext.broadcast((tokenizer, dictionary))
+    bounds = range_bounds(docs)
+    handle = spark.sparkContext.broadcast((dictionary, bounds))
 
-    def run(batches):
+    def encode(batches):
         import zstandard
 
-        tokenizer, dictionary = handle.value
-        bpe = kept(("bpe", plain_specials, zlib.crc32(tokenizer.encode())), lambda: ByteBpe(tokenizer, plain_specials))
-        squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
-        fs, root = file_system(base)
-        context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.mltk"
-        index, at = [], len(MAGIC) + 32
-        out = None
+        dictionary, bounds = handle.value
+        bpe = kept(("bpe", plain_specials, zlib.crc32(raw.value.encode())), lambda: ByteBpe(raw.value, plain_specials))
+        table = zstandard.ZstdCompressionDict(dictionary)
+        table.precompute_compress(level=LEVEL)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=table, write_content_size=True)
         for batch, texts in tn.chunks(batches):
-            if out is None:
-                out = fs.open_output_stream(f"{root}/{name}")
-                out.write(MAGIC + hashlib.sha256(dictionary).digest())
             ids, count = bpe.encode(texts)
-            cut = np.r_[0, np.cumsum(count)]
-            doc_ids = batch.column("doc_id").to_pylist()
+            cut = np.cumsum(count)
+            ids = np.insert(ids, cut, np.uint32(end_id)).astype("<u4")
+            cut = np.r_[0, cut + np.arange(1, len(cut) + 1)].tolist()
+            doc_id = batch.column("doc_id")
+            part = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
+            frames = [squeeze.compress(ids[a:b].data) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield {"part": part.astype(np.int32), "doc_id": doc_id, "n_tokens": count + 1, "frame": frames}
+
+    def store(batches):
+        fs, root = file_system(base)
+        part, out = None, None
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "frame")]
             rows = []
-            for k, d in enumerate(doc_ids):
-                raw = np.append(ids[cut[k] : cut[k + 1]], np.uint32(end_id)).astype("<u4").tobytes()
-                frame = squeeze.compress(raw)
+            for p, d, n, frame in zip(*cols, strict=True):
+                if p != part:
+                    if out is not None:
+                        _finish(out, index, at)
+                    part, index, at = p, [], len(MAGIC) + len(digest)
+                    name = f"part-{p:05d}-{TaskContext.get().taskAttemptId()}.mltk"
+                    out = fs.open_output_stream(f"{root}/{name}")
+                    out.write(MAGIC + digest)
                 out.write(frame)
-                rows.append((-1 if d is None else d, at, len(frame), len(raw) // 4))
+                rows.append((name, d, len(index), at, len(frame), n, p))
+                index.append((-1 if d is None else d, at, len(frame), n))
                 at += len(frame)
-            place = range(len(index), len(index) + len(rows))
-            index += rows
-            yield {"file": [name] * len(rows), "doc_id": doc_ids, "place": list(place), "offset": [r[1] for r in rows], "size": [r[2] for r in rows], "n_tokens": [r[3] for r in rows], "part": [context.partitionId()] * len(rows)}
+            if rows:
+                yield dict(zip(("file", "doc_id", "place", "offset", "size", "n_tokens", "part"), map(list, zip(*rows, strict=True)), strict=True))
         if out is not None:
-            out.write(np.array(index, "<i8").tobytes() + struct.pack("<qq", len(index), at))
-            out.close()
+            _finish(out, index, at)
 
-    rows = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    index = work.save(map_arrow(rows, run, "file string, doc_id long, place long, offset long, size long, n_tokens long, part int"), "index")
+    rows = map_arrow(docs, encode, "part int, doc_id long, n_tokens long, frame binary", keeps=True)
+    rows = rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "n_tokens", "frame")
+    index = work.save(map_arrow(rows, store, "file string, doc_id long, place long, offset long, size long, n_tokens long, part int"), "index")
     index._tokens_at = base
     return index
 
 
+def _finish(out, index: list[tuple[int, int, int, int]], at: int) -> None:
+    out.write(np.array(index, "<i8").tobytes() + struct.pack("<qq", len(index), at))
+    out.close()
+
+
 def read(spark: SparkSession, base: str, index: DataFrame, max_gap: int = 1 << 16, max_range: int = 4 << 20) -> DataFrame:
     """``doc_id, part, place, n_tokens, ids_crc32`` of the indexed documents, from the files.
 
@@ -207,7 +271,8 @@ def read(spark: SparkSession, base: str, index: DataFrame, max_gap: int = 1 << 1
                 yield {"doc_id": [r["doc_id"] for r in rows[k:j]], "part": [r["part"] for r in rows[k:j]], "place": [r["place"] for r in rows[k:j]], "n_tokens": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids]}
                 k = j
 
-    rows = index.withColumn("stretch", (F.col("offset") / F.lit(32 << 20)).cast("long")).repartition("file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
+    total = index.agg(F.sum("size")).first()[0] or 0
+    rows = index.withColumn("stretch", F.floor(F.col("offset") / READ_BYTES)).repartition(1 + 2 * total // READ_BYTES, "file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
     return map_arrow(rows, run, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
 
 
