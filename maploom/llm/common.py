@@ -10,7 +10,7 @@ from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows in one Arrow batch; bounds the memory of a Python worker.
@@ -176,20 +176,22 @@ class Bloom:
 def components(work: Workspace, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``id, component`` for every end of ``edges(a, b)``; the smallest reachable id names it.
 
-    Alternating large-star and small-star steps.  Every round is a saved table;
-    only a count and a checksum come to the driver.
+    Alternating large-star and small-star steps.  Every step is a saved table; only
+    the number of edges out of place comes to the driver, and the steps end when
+    the edges are stars around the smallest ids.
     """
     now = work.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
     for _ in range(max_rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or not seen[0]:
-            break
-        mark = seen
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # stars: no end has both a larger and a smaller neighbour, or two smaller ones
+        open_ = Observation()
+        seen = F.count_if(((F.col("b") > F.col("a")) & (F.col("m") < F.col("a"))) | ((F.col("b") < F.col("a")) & (F.col("b") > F.col("m")))).alias("n")
+        large = both.join(least, "a").observe(open_, seen).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = work.save(large, "large")
+        if not open_.get["n"]:
+            work.drop(large)
+            break
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         before, now = now, work.save(small, "small")
@@ -198,3 +200,19 @@ def components(work: Workspace, edges: DataFrame, max_rounds: int = 50) -> DataF
         raise RuntimeError("components did not settle")
     found = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return found.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def relabel(work: Workspace, comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp(id, component)`` after one step over new ``links(a, b)``: components that meet in a common one get one name.
+
+    Ids with the same name are always connected; those with different names may be,
+    too, until :func:`components` is run.
+    """
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    base = work.save(comp.unionByName(ends.join(comp, "id", "left_anti").select("id", F.col("id").alias("component"))), "labels")
+    x, y = (base.select(F.col("id").alias(e), F.col("component").alias(n)) for e, n in (("a", "x"), ("b", "y")))
+    meet = links.join(x, "a").join(y, "b").select("x", "y").where("x <> y")
+    both = work.save(meet.unionByName(meet.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "meet")
+    least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("y"), F.least("x", "m").alias("m"))
+    named = both.join(least, "y").groupBy("x").agg(F.min("m").alias("m")).select(F.col("x").alias("component"), F.least("x", "m").alias("m"))
+    return work.save(base.join(named, "component", "left").select("id", F.coalesce("m", "component").alias("component")), "comp")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import Bloom, Workspace, arrow_schema, components, docs_of, lists, map_arrow, release, small_batches
+from .common import Bloom, Workspace, arrow_schema, components, docs_of, lists, map_arrow, relabel, release, small_batches
 
 SLOTS_LOG2 = 20  #: counters of the frequency sketch (fixed size)
 HOT = 32  #: a counter below this says nothing about its shingles
@@ -318,7 +318,7 @@ def open_tiles(tiles: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(mixed.select("token", F.col("main.comp").alias("main"), "g"), "token")
 
 
-def main_pairs(rows: DataFrame, tested: DataFrame, turn: int, seeds: int = 3) -> DataFrame:
+def main_pairs(rows: DataFrame, tested: DataFrame, turn: int, seeds: int = 6) -> DataFrame:
     """Pairs of members outside their tile's main component with a few members of it, chosen by hash, others in each turn.
 
     In a large group of near copies nearly all members link with some of these, so
@@ -450,20 +450,20 @@ def link_sets(work: Workspace, feats: DataFrame, arrays) -> DataFrame | None:
     comp = work.save(components(work, links), "first")
     tiles = work.save(open_tiles(live, comp), "open")
     work.drop(live)
-    many, turn, found = bits.count(), 0, None
-    # again while that still joins much (a hundredth of the sets): the rest is then compared with all
-    while found is None or 100 * found > many:
+    many, turn, found, links = bits.count(), 0, None, links.limit(0)
+    # again while that still joins much (a tenth of the sets): the rest is then compared with all
+    while found is None or 10 * found > many:
         rest = work.save(pass_bound(main_pairs(tiles, likely, turn), bits), "main")
         more = work.save(settle(rest, arrays(rest)), "more")
         likely, links, found, turn = likely.unionByName(rest), links.unionByName(more), more.count(), turn + 1
         if found:
-            comp = work.save(components(work, links), "comp")
+            comp = relabel(work, comp, more)
             before, tiles = tiles, work.save(open_tiles(tiles, comp), "open")
             work.drop(before)
     rest = work.save(remaining_pairs(tiles, bits, likely), "rest")
-    more = work.save(settle(rest, arrays(rest)), "more")
-    if not more.isEmpty():
-        comp = work.save(components(work, links.unionByName(more)), "comp")
+    links = links.unionByName(settle(rest, arrays(rest)))
+    # ids of one name are connected, so the names and the links since the first components have all
+    comp = work.save(components(work, comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)), "comp")
     release(work.spark)
     return comp
 

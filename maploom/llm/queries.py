@@ -52,7 +52,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .paragraph_dedup import paragraph_dedup
 
-    return paragraph_dedup(_table(spark, sf_dir, "documents")).drop("text")
+    return paragraph_dedup(_table(spark, sf_dir, "documents"), passages=True).select("doc_id", "n_removed", "n_shared", "removed_of", "kept_sha256")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
+        self._words: tuple | None = None
 
     @classmethod
     def of(cls, array: pa.Array) -> Texts:
@@ -73,13 +74,22 @@ class Texts:
 
     def lower(self) -> Texts:
         """A-Z lower-cased, all else as it is."""
-        return Texts(_LOWER[self.data], self.offsets)
+        out = Texts(_LOWER[self.data], self.offsets)
+        out._words = self._words
+        return out
 
     def text(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
 
     def runs(self, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and document of each maximal run without separators."""
+        """Start, end and document of each maximal run without separators; words are found once."""
+        if separator is _SEPARATOR:
+            if self._words is None:
+                self._words = self._runs(separator)
+            return self._words
+        return self._runs(separator)
+
+    def _runs(self, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(self.data)
         if n == 0:
             z = np.empty(0, np.int64)

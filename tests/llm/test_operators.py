@@ -404,3 +404,49 @@ def test_pipeline_with_null_ids_and_repeated_rows(spark, tmp_path):
     for words in (10**6, 100):
         left = clean(docs, items, words)
         assert left.columns == docs.columns and Counter((r.doc_id, r.text) for r in left.collect()) == Counter(x for x in rows if x[1] not in (prose(62, 80), prose(64, 80)))
+
+
+def shared_windows(rows, size, own=False):
+    """The documents that share ``size`` words in a row with another one, or with ``own`` repeat them."""
+    owners = defaultdict(list)
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        for k in range(len(w) - size + 1):
+            owners[hash(tuple(w[k : k + size]))].append(i)
+    return {i for o in owners.values() if len(o if own else set(o)) > 1 for i in o}
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_passages(spark, bound):
+    """Passages inside longer lines, and wrapped otherwise, go from all documents but the first."""
+    from maploom.llm.paragraph_dedup import paragraph_dedup
+
+    passage = prose(500, 55)
+    wrapped = "\n".join(" ".join(passage.split()[k : k + 9]) for k in range(0, 55, 9))
+    rows = [*hard_cases(), (900, f"{prose(501, 90)} {passage} {prose(502, 70)}"), (901, f"{prose(503, 12)} {passage.upper()} {prose(504, 300)}\n{prose(505, 5)}"), (902, f"{prose(506, 30)}\n{wrapped}\n{prose(507, 40)}"), (903, prose(508, 200)), (904, prose(509, 3)), (None, f"{prose(510, 40)} {passage}"), (906, "same " * 400), (907, "same " * 300)]
+    got = {r.doc_id: r for r in paragraph_dedup(table(spark, rows), broadcast_keys=bound, passages=True).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].n_shared > 0 for i in (900, 901, 902, None)) and [got[i].n_removed > 0 for i in (900, 901, 902, None)] == [False, True, True, True]
+    assert got[900].text == dict(rows)[900] and got[901].removed_of == [900] and 900 in got[902].removed_of
+    for i in (903, 904):
+        assert got[i].text == dict(rows)[i] and got[i].n_shared == got[i].n_removed == 0
+    words = WORD.findall(passage)
+    for i in (901, 902, None):
+        before, after = WORD.findall(dict(rows)[i].translate(LOWER)), WORD.findall(got[i].text.translate(LOWER))
+        gone = Counter(before) - Counter(after)
+        assert sum(gone.values()) >= 20 and not gone - Counter(words) and not Counter(after) - Counter(before)
+    assert len(got[907].text.split()) < 300 and got[904].text == prose(509, 3)
+    assert paragraph_dedup(table(spark, []), passages=True).count() == 0
+
+
+def test_passages_of_a_whole_table(spark):
+    """At least 0.97 of the documents that share 50 words in a row are found; what is found has repeated words of a passage's length, or paragraphs."""
+    from maploom.llm.paragraph_dedup import PASSAGE, paragraph_dedup
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in paragraph_dedup(docs, passages=True).drop("text").collect()}
+    lines = {r.doc_id for r in paragraph_dedup(docs).drop("text").where("n_shared > 0").collect()}
+    long = shared_windows(rows, 50)
+    assert sum(got[i].n_shared > 0 for i in long) >= 0.97 * len(long)
+    assert not {i for i in got if got[i].n_shared} - lines - shared_windows(rows, PASSAGE, own=True)
