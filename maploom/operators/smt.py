@@ -3,8 +3,9 @@
 A subtree without keys is empty; one with a single key is that key's leaf,
 ``H(key | value | height)`` with the height's low byte; any other is ``H(left |
 right)``, an empty child being one zero byte.  The root depends on the set of keys
-and values only.  Keys are folded per prefix of 8 bits in parallel; the driver joins
-the 256 results.
+and values only.  Keys are folded per prefix of 16 bits in parallel, these nodes per
+prefix of 8 bits; the driver joins the 256 results.  The nodes at these depths can
+be kept, so that an update folds only what it touches and a proof looks them up.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EMPTY, HEIGHT, TOP = b"\0", 256, 8
+from ..store import cut
+
+EMPTY, HEIGHT, TOP, DEEP = b"\0", 256, 8, 16
 
 
 def _h(*parts: bytes) -> bytes:
@@ -66,28 +68,100 @@ def fold(leaves: list[tuple[bytes, bytes]], depth: int = 0) -> Tree:
     return join(fold(leaves[:lo], depth + 1), fold(leaves[lo:], depth + 1), depth)
 
 
-def subtrees(leaves: DataFrame) -> DataFrame:
-    """``prefix, n, hash, key, value`` (hex) of each 8-bit prefix of ``leaves(key, value)`` in hex.
+NODE = "prefix string, n long, hash string, key string, value string"
+_COLUMNS = [x.split()[0] for x in NODE.split(", ")]
+
+
+def _row(prefix: str, t: Tree) -> tuple:
+    return prefix, t.n, t.hash.hex(), t.key.hex(), t.value.hex()
+
+
+def _tree(r) -> Tree:
+    return Tree(r["n"], bytes.fromhex(r["hash"]), bytes.fromhex(r["key"]), bytes.fromhex(r["value"]))
+
+
+def _by_prefix(rows: DataFrame, digits: int, fold_one) -> DataFrame:
+    """Nodes of each prefix of so many hex digits: rows are dealt by prefix, sorted, and folded as they stream.
+
+    ``fold_one`` gets a prefix and its rows; one prefix is held at a time.
+    """
+    name = rows.columns[0]
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([pa.field("prefix", pa.string()), pa.field("n", pa.int64()), *[pa.field(c, pa.string()) for c in _COLUMNS[2:]]])
+        prefix, held = None, []
+
+        def out(done):
+            return pa.RecordBatch.from_pydict(dict(zip(_COLUMNS, zip(*done, strict=True), strict=True)), schema=schema)
+
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                p = r[name][:digits]
+                if p != prefix:
+                    if held:
+                        done.append(_row(prefix, fold_one(prefix, held)))
+                    prefix, held = p, []
+                held.append(r)
+            if done:
+                yield out(done)
+        if held:
+            yield out([_row(prefix, fold_one(prefix, held))])
+
+    # the first digits spread the prefixes evenly, as keys are hashes
+    return rows.repartition(F.substring(name, 1, digits)).sortWithinPartitions(name).mapInArrow(run, NODE)
+
+
+def _fold_leaves(prefix: str, rows: list[dict]) -> Tree:
+    return fold([(bytes.fromhex(r["key"]), bytes.fromhex(r["value"])) for r in rows], 4 * len(prefix))
+
+
+def _fold_children(prefix: str, rows: list[dict]) -> Tree:
+    found = {r["prefix"]: _tree(r) for r in rows}
+    return _join_all([found.get(f"{prefix}{k:02x}", Tree(0)) for k in range(1 << TOP)], 4 * len(prefix))
+
+
+def nodes(leaves: DataFrame) -> DataFrame:
+    """``prefix, n, hash, key, value``: the nodes at depths DEEP, TOP and 0 of ``leaves(key, value)`` in hex, saved.
 
-    Keys are hashes, so the prefixes share them evenly; a deeper split is made
-    first: prefixes of 16 bits are folded apart and then joined per 8 bits.
+    Leaves are folded per prefix of DEEP bits, then 256 nodes each per prefix of TOP
+    bits, then these.  Empty subtrees have no row.
     """
-    deep = 2 * TOP
+    deep = cut(_by_prefix(leaves.select("key", "value"), DEEP // 4, _fold_leaves), "nodes")
+    top = cut(_by_prefix(deep, TOP // 4, _fold_children), "nodes")
+    return deep.unionByName(top).unionByName(_top(top))
 
-    def low(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((bytes.fromhex(k), bytes.fromhex(v)) for k, v in zip(pdf["key"], pdf["value"], strict=True))
-        t = fold(rows, deep)
-        return pd.DataFrame([[pdf["p16"].iloc[0], t.n, t.hash.hex(), t.key.hex(), t.value.hex()]], columns=["p16", "n", "hash", "key", "value"])
 
-    def high(pdf: pd.DataFrame) -> pd.DataFrame:
-        trees = {r.p16: Tree(int(r.n), bytes.fromhex(r.hash), bytes.fromhex(r.key), bytes.fromhex(r.value)) for r in pdf.itertuples()}
-        p = pdf["prefix"].iloc[0]
-        t = _join_all([trees.get(f"{p}{k:02x}", Tree(0)) for k in range(1 << TOP)], TOP)
-        return pd.DataFrame([[p, t.n, t.hash.hex(), t.key.hex(), t.value.hex()]], columns=["prefix", "n", "hash", "key", "value"])
+def _top(top: DataFrame) -> DataFrame:
+    t = _join_all(_collected(top), 0)
+    return top.sparkSession.createDataFrame([_row("", t)] if t.n else [], NODE)
 
-    rows = leaves.select("key", "value").withColumn("p16", F.substring("key", 1, deep // 4))
-    part = rows.groupBy("p16").applyInPandas(low, "p16 string, n long, hash string, key string, value string")
-    return part.withColumn("prefix", F.substring("p16", 1, TOP // 4)).groupBy("prefix").applyInPandas(high, "prefix string, n long, hash string, key string, value string")
+
+def update(old: DataFrame, leaves: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new nodes, new leaves) after ``changes(key, value)``: upserts, and deletions where ``value`` is null.
+
+    Only the prefixes of changed keys are folded again, then the prefixes above them;
+    each key occurs once in ``changes``.
+    """
+    changes = cut(changes.select("key", "value"), "changes")
+    fresh = leaves.select("key", "value").join(changes.select("key"), "key", "left_anti").unionByName(changes.where("value is not null"))
+    at = F.length("prefix")
+    out = []
+    rows, digits = fresh, DEEP // 4
+    while digits:
+        touched = changes.select(F.substring("key", 1, digits).alias("touched")).distinct()
+        name = rows.columns[0]
+        some = rows.join(touched, F.substring(name, 1, digits) == F.col("touched"), "left_semi")
+        again = _by_prefix(some, digits, _fold_leaves if name == "key" else _fold_children)
+        level = old.where(at == digits).join(touched, F.col("prefix") == F.col("touched"), "left_anti").unionByName(again)
+        rows, digits = cut(level, "nodes"), digits - TOP // 4
+        out.append(rows)
+    found = out[0]
+    for level in out[1:]:
+        found = found.unionByName(level)
+    return found.unionByName(_top(out[-1])), fresh
 
 
 def _join_all(trees: list[Tree], depth: int) -> Tree:
@@ -100,65 +174,134 @@ def _join_all(trees: list[Tree], depth: int) -> Tree:
 
 
 def _collected(parts: DataFrame) -> list[Tree]:
-    found = {int(r.prefix, 16): Tree(r.n, bytes.fromhex(r.hash), bytes.fromhex(r.key), bytes.fromhex(r.value)) for r in parts.collect()}  # 256 rows at most
+    found = {int(r.prefix, 16): _tree(r) for r in parts.collect()}  # 256 rows at most
     return [found.get(k, Tree(0)) for k in range(1 << TOP)]
 
 
-def root(leaves: DataFrame) -> str | None:
+def root_of(nodes: DataFrame) -> str | None:
     """The root in hex; null for no leaves."""
-    t = _join_all(_collected(subtrees(leaves)), 0)
-    return t.at(0).hex() if t.n else None
+    r = nodes.where("prefix = ''").first()
+    return _tree(r).at(0).hex() if r else None
 
 
-def audit(leaves: list[tuple[bytes, bytes]], key: bytes, depth: int = 0) -> tuple[list[bytes], Tree]:
-    """Siblings from the deepest up, and the subtree (empty or one leaf) that ends the key's path."""
-    path = []
-    while len(leaves) > 1:
-        b = _bit(key, depth)
-        side = [[x for x in leaves if _bit(x[0], depth) == s] for s in (0, 1)]
-        path.append(fold(side[1 - b], depth + 1).at(depth + 1))
-        leaves, depth = side[b], depth + 1
-    return path[::-1], Tree(1, b"", *leaves[0]) if leaves else Tree(0)
+def root(leaves: DataFrame) -> str | None:
+    return root_of(nodes(leaves))
 
 
-def proofs(queries: DataFrame, leaves: DataFrame) -> DataFrame:
+def audit(leaves: list[tuple[bytes, bytes]], key: bytes, depth: int = 0) -> tuple[list[bytes], Tree]:
+    """Siblings from the deepest up, and the subtree (empty or one leaf) that ends the key's path."""
+    return Subtree(leaves, depth).audit(key)
+
+
+class Subtree:
+    """Sorted leaves that agree on the first ``depth`` bits, folded once; proofs then only look nodes up."""
+
+    def __init__(self, leaves: list[tuple[bytes, bytes]], depth: int):
+        self.leaves, self.depth, self.known = leaves, depth, {}
+
+    def _split(self, lo: int, hi: int, depth: int) -> int:
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if _bit(self.leaves[mid][0], depth) == 0 else (lo, mid)
+        return lo
+
+    def node(self, lo: int, hi: int, depth: int) -> tuple[Tree, int]:
+        """The subtree of leaves lo .. hi-1 and where its right half begins."""
+        if hi - lo < 2:
+            return (Tree(1, b"", *self.leaves[lo]) if hi > lo else Tree(0)), hi
+        got = self.known.get((lo, hi, depth))
+        if got is None:
+            mid = self._split(lo, hi, depth)
+            got = self.known[lo, hi, depth] = join(self.node(lo, mid, depth + 1)[0], self.node(mid, hi, depth + 1)[0], depth), mid
+        return got
+
+    def audit(self, key: bytes) -> tuple[list[bytes], Tree]:
+        path, lo, hi, depth = [], 0, len(self.leaves), self.depth
+        while hi - lo > 1:
+            mid = self.node(lo, hi, depth)[1]
+            right = _bit(key, depth)
+            other = (lo, mid) if right else (mid, hi)
+            path.append(self.node(*other, depth + 1)[0].at(depth + 1))
+            (lo, hi), depth = (mid, hi) if right else (lo, mid), depth + 1
+        return path[::-1], self.node(lo, hi, depth)[0]
+
+
+def proofs(queries: DataFrame, leaves: DataFrame, saved: DataFrame | None = None) -> DataFrame:
     """``key, path, included, proof_key, proof_value`` (hex; path from leaf to root) for ``queries(key)``.
 
-    Queries meet the leaves of their 8-bit prefix; the top siblings come from the
-    256 subtrees.
+    Queries meet the leaves of their prefix of DEEP bits, which is folded once; the
+    siblings above come from the saved ``nodes`` (at most 2**DEEP + 2**TOP rows, which
+    is the size of the broadcast).
     """
-    trees = _collected(subtrees(leaves))
+    saved = nodes(leaves) if saved is None else saved
+    table = {r.prefix: (r.n, r.hash, r.key, r.value) for r in saved.where("prefix <> ''").collect()}
+    handle = leaves.sparkSession.sparkContext.broadcast(table)
     schema = "key string, path array<string>, included boolean, proof_key string, proof_value string"
-
-    def top_path(prefix: int) -> list[tuple[bytes, Tree]]:
-        """(sibling hash, sibling), from depth TOP up."""
-        out, level, k, depth = [], trees, prefix, TOP
-        while len(level) > 1:
-            out.append((level[k ^ 1].at(depth), level[k ^ 1]))
-            depth -= 1
-            level, k = [join(a, b, depth) for a, b in zip(level[::2], level[1::2], strict=True)], k >> 1
+    digits, known = DEEP // 4, {}
+
+    def levels(parent: str) -> list[list[Tree]]:
+        """The nodes below ``parent``, from TOP bits deeper up to its two children."""
+        if parent not in known:
+            get = lambda p: Tree(t[0], *map(bytes.fromhex, t[1:])) if (t := handle.value.get(p)) else Tree(0)
+            level, depth = [get(f"{parent}{c:02x}") for c in range(1 << TOP)], 4 * len(parent) + TOP
+            known[parent] = [level]
+            while len(level) > 2:
+                depth -= 1
+                level = [join(a, b, depth) for a, b in zip(level[::2], level[1::2], strict=True)]
+                known[parent].append(level)
+        return known[parent]
+
+    def above(prefix: str) -> list[tuple[bytes, Tree]]:
+        """(sibling hash, sibling), from depth DEEP up."""
+        out = []
+        for at in range(digits, 0, -(TOP // 4)):
+            k = int(prefix[at - TOP // 4 : at], 16)
+            for up, level in enumerate(levels(prefix[: at - TOP // 4])):
+                other = level[k >> up ^ 1]
+                out.append((other.at(4 * at - up), other))
         return out
 
-    def answer(q: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((bytes.fromhex(k), bytes.fromhex(v)) for k, v in zip(own["leaf_key"], own["leaf_value"], strict=True)) if len(own) else []
-        out = []
-        for hexkey in q["key"].unique():
+    def answer(prefix: str, keys: list[str], rows: list[tuple[bytes, bytes]]) -> list[tuple]:
+        tree, upper, out = Subtree(rows, 4 * digits), above(prefix), []
+        for hexkey in keys:
             key = bytes.fromhex(hexkey)
-            path, end = audit(rows, key, TOP)
+            path, end = tree.audit(key)
             n = len(rows)
-            for sibling, other in top_path(key[0]):
+            for sibling, other in upper:
                 # a lone leaf rises until some sibling has keys; an empty place takes a sibling's lone leaf
                 if n + other.n > 1 or path:
                     path.append(sibling)
                 elif n == 0 and other.n == 1:
                     end = other
                 n += other.n
-            out.append([hexkey, [p.hex() for p in path], end.n == 1 and end.key == key, end.key.hex() if end.n else None, end.value.hex() if end.n else None])
-        return pd.DataFrame(out, columns=["key", "path", "included", "proof_key", "proof_value"])
+            out.append((hexkey, [p.hex() for p in path], end.n == 1 and end.key == key, end.key.hex() if end.n else None, end.value.hex() if end.n else None))
+        return out
 
-    a = queries.select("key").distinct().withColumn("p", F.substring("key", 1, TOP // 4)).groupBy("p")
-    b = leaves.select(F.col("key").alias("leaf_key"), F.col("value").alias("leaf_value")).withColumn("p", F.substring("leaf_key", 1, TOP // 4)).groupBy("p")
-    return a.cogroup(b).applyInPandas(lambda q, own: answer(q, own) if len(q) else pd.DataFrame(columns=["key", "path", "included", "proof_key", "proof_value"]), schema)
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = pa.schema([("key", pa.string()), ("path", pa.list_(pa.string())), ("included", pa.bool_()), ("proof_key", pa.string()), ("proof_value", pa.string())])
+        prefix, keys, rows = None, [], []
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                if r["p"] != prefix:
+                    done += answer(prefix, keys, rows) if keys else []
+                    prefix, keys, rows = r["p"], [], []
+                if r["value"] is None:
+                    keys.append(r["key"])
+                else:
+                    rows.append((bytes.fromhex(r["key"]), bytes.fromhex(r["value"])))
+            if done:
+                yield pa.RecordBatch.from_pydict(dict(zip(kinds.names, zip(*done, strict=True), strict=True)), schema=kinds)
+        if keys:
+            yield pa.RecordBatch.from_pydict(dict(zip(kinds.names, zip(*answer(prefix, keys, rows), strict=True), strict=True)), schema=kinds)
+
+    part = F.substring("key", 1, digits).alias("p")
+    asked = queries.select("key").distinct().select(part, "key", F.lit(None).cast("string").alias("value"))
+    some = leaves.select(part, "key", "value").join(asked.select("p").distinct(), "p", "left_semi")
+    both = some.unionByName(asked).repartition("p").sortWithinPartitions("p", "key")
+    return both.mapInArrow(run, schema)
 
 
 def verify_inclusion(root_hex: str, path: list[str], key: str, value: str) -> bool:
@@ -193,3 +336,16 @@ def compress(path: list[str]) -> tuple[str, list[str], int]:
 def expand(bits: str, siblings: list[str], length: int) -> list[str]:
     rest = iter(siblings)
     return [next(rest) if b == "1" else "00" for b in bits[:length]]
+
+
+def verify_inclusion_compressed(root_hex: str, bits: str, siblings: list[str], length: int, key: str, value: str) -> bool:
+    return verify_inclusion(root_hex, expand(bits, siblings, length), key, value)
+
+
+def verify_absence_compressed(root_hex: str | None, bits: str, siblings: list[str], length: int, key: str, proof_key: str | None, proof_value: str | None) -> bool:
+    return verify_absence(root_hex, expand(bits, siblings, length), key, proof_key, proof_value)
+
+
+def get(leaves: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key, value`` of the asked keys; a null value for those that are not there."""
+    return keys.select("key").distinct().join(leaves.select("key", "value"), "key", "left")

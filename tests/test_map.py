@@ -180,3 +180,30 @@ def test_store_and_stream(spark, tmp_path):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 5, 1), ("b", 3, 2)], "k string, v int, t int")
     assert sorted(map(tuple, upsert_replace(old, new, ["k"], "t").collect())) == [("a", 1), ("b", 3)]
+
+
+def test_trie_update(spark):
+    """An incremental root equals a fresh one; proofs against kept nodes verify; the last key's removal gives a null root."""
+    h = lambda x: sha(x).hex()
+    frame = lambda rows: spark.createDataFrame(rows, "key string, value string")
+    leaves = frame([(h(f"k{i}"), h(f"v{i}")) for i in range(300)])
+    kept = smt.nodes(leaves)
+    old_root = smt.root_of(kept)
+    changes = {h(f"k{i}"): None if i % 2 else h(f"new{i}") for i in range(280, 320)}
+    new, fresh = smt.update(kept, leaves, frame(list(changes.items())))
+    want = {h(f"k{i}"): h(f"v{i}") for i in range(300)} | changes
+    want = sorted((bytes.fromhex(k), bytes.fromhex(v)) for k, v in want.items() if v)
+    assert {(r.key, r.value) for r in fresh.collect()} == {(k.hex(), v.hex()) for k, v in want}
+    assert smt.root_of(new) == smt.fold(want).at(0).hex() != old_root
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, smt.nodes(fresh).collect()))
+    asked = frame([(h(f"k{i}"), "") for i in range(270, 330)]).select("key")
+    for root, l, n in ((smt.root_of(new), fresh, new), (old_root, leaves, kept)):  # the second: against a past root
+        for r in smt.proofs(asked, l, n).collect():
+            bits = smt.compress(r.path)
+            if r.included:
+                assert smt.verify_inclusion(root, r.path, r.proof_key, r.proof_value) and smt.verify_inclusion_compressed(root, *bits, r.proof_key, r.proof_value)
+            else:
+                assert smt.verify_absence(root, r.path, r.key, r.proof_key, r.proof_value) and smt.verify_absence_compressed(root, *bits, r.key, r.proof_key, r.proof_value)
+    none, empty = smt.update(new, fresh, fresh.select("key", F.lit(None).cast("string").alias("value")))
+    assert smt.root_of(none) is None and empty.count() == 0 and none.count() == 0
+    assert {(r.key, r.value) for r in smt.get(fresh, asked.limit(60)).collect()} >= {(h("k282"), h("new282")), (h("k281"), None)}
