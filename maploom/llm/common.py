@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager, suppress
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         import tempfile
 
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="maploom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -51,9 +54,19 @@ class Workspace:
         out._saved_at = path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """Save ``df`` bucketed and sorted by ``key``: a join with an equal number of partitions reads it without a shuffle."""
+        path, table = self.path(name), f"maploom_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+        out = self.spark.table(table)
+        out._saved_at, out._table = path, table
+        return out
+
     def drop(self, *saved: DataFrame) -> None:
         """Delete saved tables that are no longer read, and let Spark clean old shuffles."""
         for df in saved:
+            if hasattr(df, "_table"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {df._table}")
             delete(self.spark, df._saved_at)
         release(self.spark)
 

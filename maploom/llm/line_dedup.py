@@ -1,17 +1,19 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a saved table of (line key, documents that have it), sorted by key in
-key ranges.  Each batch of documents adds one run of level 0; when a level has
-``fanout`` runs they are merged into one run of the next level, so a key is
-rewritten only once per level.  A batch is joined with the runs by merge joins:
-:meth:`LineRuns.unseen` is the anti-join that passes lines no earlier batch had,
-:meth:`LineRuns.frequent` gives the keys that enough documents share.
+A run is a saved table of (line key, documents that have it), bucketed and sorted
+by key.  Each batch of documents is merge-anti-joined with the runs: the lines that
+no earlier batch had become its own run of level 0, the others a tally.  When a
+level has ``fanout`` runs they are merged into one run of the next level, so a key
+is rewritten only once per level.  A key's documents are those of its run and of
+the tallies; most keys are in one batch only and are never counted again.
 
 A line's key is the 64-bit hash of the line without ``[\\x20\\x09-\\x0D]`` at both
 ends and with A-Z lower-cased.
 
 Defined results: a null or empty text is one empty line, which is never dropped.
-Repeated rows count as documents of their own.  An empty table gives no rows.
+Each row is a document, also if rows share a doc_id, are repeated, or have none.
+Texts are read whole, however long.  Only the named columns are read; others,
+whatever their names, never matter.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .common import Workspace, docs_of, lists, map_arrow, small_batches
 
 #: Most frequent keys that are broadcast (8 bytes each); beyond it they are joined.
 BROADCAST_KEYS = 1_000_000
-BATCHES, FANOUT = 3, 2
+BATCHES, FANOUT = 4, 2
 
 
 class Lines:
@@ -67,32 +69,43 @@ def line_keys(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 keys, count = np.unique(rows[::-1], axis=1, return_counts=True)
                 yield {"batch": keys[0], "key": keys[1], "docs": count}
 
-    rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("part"))
+    rows = docs.select("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(batches)).alias("part"))
     return map_arrow(rows, run, "batch long, key long, docs long")
 
 
 class LineRuns:
-    """Levelled sorted runs of ``key, docs`` in a workspace."""
+    """Levelled sorted runs of ``key, docs`` in a workspace.
+
+    A key is in one run only, that of the batch that had it first; later sightings
+    are tallies.  Runs are bucketed and sorted by key, so joins of a batch with them
+    merge without another shuffle of the runs.
+    """
 
     def __init__(self, work: Workspace, fanout: int = FANOUT):
-        self.work, self.fanout, self.levels = work, fanout, {}
+        self.work, self.fanout, self.levels, self.tallies = work, fanout, {}, []
+        self.buckets = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _write(self, rows: DataFrame, level: int) -> DataFrame:
-        run = rows.groupBy("key").agg(F.sum("docs").alias("docs")).sortWithinPartitions("key")
-        return self.work.save(run, f"run-{level}")
+    def _write(self, rows: DataFrame, name: str) -> DataFrame:
+        return self.work.bucketed(rows, name, "key", self.buckets)
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch's ``key, docs`` as a run; full levels are compacted."""
-        level, run = 0, self._write(batch, 0)
+        """Merge-anti-join a batch's ``key, docs`` with the runs and add its own run; full levels are compacted."""
+        own = self._write(batch.groupBy("key").agg(F.sum("docs").alias("docs")), "batch")
+        run = own
+        if any(self.levels.values()):
+            run = self._write(self.unseen(own), "run-0")
+            self.tallies.append(self.work.save(own.join(run.select("key").hint("merge"), "key", "left_anti"), "tally"))
+            self.work.drop(own)
+        level = 0
         while True:
             have = self.levels.setdefault(level, [])
             have.append(run)
             if len(have) < self.fanout:
                 return
-            run = self._write(self._union(have), level + 1)
-            self.work.drop(*have)
-            self.levels[level] = []
             level += 1
+            run = self._write(self._union(have).repartition(self.buckets, "key"), f"run-{level}")
+            self.work.drop(*have)
+            have.clear()
 
     @staticmethod
     def _union(runs: list[DataFrame]) -> DataFrame:
@@ -101,10 +114,6 @@ class LineRuns:
             out = out.unionByName(r)
         return out
 
-    def all(self) -> DataFrame | None:
-        runs = [r for have in self.levels.values() for r in have]
-        return self._union(runs) if runs else None
-
     def unseen(self, batch: DataFrame) -> DataFrame:
         """The rows of ``batch`` whose key no run has (merge anti-join)."""
         for have in self.levels.values():
@@ -113,8 +122,15 @@ class LineRuns:
         return batch
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """Keys found in at least ``min_docs`` documents of all batches."""
-        return self.all().groupBy("key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("key")
+        """Keys found in at least ``min_docs`` documents of all batches; only keys of several batches are counted again."""
+        runs = [r for have in self.levels.values() for r in have]
+        out = self._union(runs).where(F.col("docs") >= min_docs).select("key")
+        if not self.tallies:
+            return out
+        again = self._union(self.tallies).groupBy("key").agg(F.sum("docs").alias("again"))
+        again = self.work.save(again, "again")
+        both = self._union([r.join(again.hint("merge"), "key") for r in runs])
+        return out.union(both.where((F.col("docs") < min_docs) & (F.col("docs") + F.col("again") >= min_docs)).select("key"))
 
 
 def _rebuild(texts: tn.Texts, x: Lines, drop: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -141,7 +157,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, columns: tuple[str, ...] = (
 
     Lines whose key is found in at least ``min_docs`` documents go from all of
     them.  Up to ``broadcast_keys`` such keys are broadcast; more are joined with
-    each document's keys and then with the documents.
+    each text's keys and then with the documents.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -152,6 +168,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, columns: tuple[str, ...] = (
     for k in range(BATCHES):
         runs.add(keys.where(F.col("batch") == k).select("key", "docs"))
     hot = work.save(runs.frequent(min_docs), "hot")
+    work.drop(keys, *[r for have in runs.levels.values() for r in have])
     kinds = {f.name: f.dataType.simpleString().replace("bigint", "long") for f in docs.schema.fields}
     ddl = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", n_lines long, n_dropped long, kept_sha256 string"
     if hot.count() <= broadcast_keys:
@@ -170,7 +187,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, columns: tuple[str, ...] = (
         for batch, texts in tn.chunks(batches):
             x = Lines(texts)
             key = np.where(x.full, x.key, 0)
-            yield {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "keys": lists(x.cut, key, pa.int64())}
+            yield {"mark": batch.column("mark"), "keys": lists(x.cut, key, pa.int64())}
 
     def run_joined(batches):
         for batch, texts in tn.chunks(batches):
@@ -182,11 +199,12 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, columns: tuple[str, ...] = (
                     drop[part] = x.full[part] & np.isin(x.key[part], np.array(gone, np.int64))
             yield _output(batch, columns, texts, x, drop)
 
+    # equal texts have equal lines, so the text's hash is a mark that no null disturbs
     marked = docs.withColumn("mark", F.xxhash64("text"))
-    own = map_arrow(marked.select("doc_id", "mark", "text"), list_keys, "doc_id long, mark long, keys array<long>")
-    own = own.distinct().select("doc_id", "mark", F.explode(F.array_distinct("keys")).alias("key"))
-    gone = own.join(hot, "key").groupBy("doc_id", "mark").agg(F.collect_list("key").alias("gone"))
-    return map_arrow(marked.join(gone, ["doc_id", "mark"], "left").drop("mark"), run_joined, ddl)
+    own = map_arrow(marked.select("mark", "text"), list_keys, "mark long, keys array<long>")
+    own = own.distinct().select("mark", F.explode(F.array_distinct("keys")).alias("key"))
+    gone = own.join(hot, "key").groupBy("mark").agg(F.collect_list("key").alias("gone"))
+    return map_arrow(marked.join(gone, "mark", "left").drop("mark"), run_joined, ddl)
 
 
 def is_in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -100,16 +100,18 @@ m AS (SELECT h, max(page_id) AS top FROM d WHERE n >= 1000 GROUP BY h)
 SELECT page_id, n::BIGINT AS payload_bytes, d.h AS payload_digest, CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top > page_id THEN top END AS refers_to
 FROM d LEFT JOIN m ON d.h = m.h AND d.n >= 1000""",
     "op8_line_dedup": rf"""
-WITH l AS MATERIALIZED (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS MATERIALIZED (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 k AS MATERIALIZED (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_ALPHABET}) AS key FROM l),
-hot AS (SELECT key FROM k WHERE length(key) > 0 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+hot AS (SELECT key FROM k WHERE length(key) > 0 GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (FROM hot)) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (FROM hot)), '')) AS kept_sha256
-FROM k GROUP BY doc_id""",
+FROM k GROUP BY r, doc_id""",
     "op10_benchmark_decontamination": f"""
-WITH s AS ({_shingles("documents", "doc_id")}), i AS ({_shingles("benchmark", "item_id")}),
-n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
-p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM s JOIN i USING (g) GROUP BY ALL)
-SELECT doc_id, item_id::BIGINT AS item_id, n_item, n_shared FROM p JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item""",
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM documents), b AS MATERIALIZED (SELECT row_number() OVER () AS q, * FROM benchmark),
+s AS ({_shingles("d", "r")}), i AS ({_shingles("b", "q")}),
+n AS (SELECT q, count(*) AS n_item FROM i GROUP BY q),
+p AS (SELECT r, q, count(*) AS n_shared FROM s JOIN i USING (g) GROUP BY ALL)
+SELECT doc_id, item_id::BIGINT AS item_id, n_item, n_shared FROM p JOIN n USING (q) JOIN d USING (r) JOIN b USING (q) WHERE 100 * n_shared >= 75 * n_item""",
 }
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_token_files, op7_paragraph_dedup, op8_line_dedup, op9_sharding, op10_benchmark_decontamination)}
