@@ -2,9 +2,38 @@
 
 from __future__ import annotations
 
+import functools
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import cut
+
+_SAVED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _derived(f):
+    """``f`` reads a table that :func:`saved` has made, else derives it."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = _SAVED.get((f.__name__, sf_dir))
+        return f(spark, sf_dir) if got is None else got
+
+    return run
+
+
+@contextmanager
+def saved(spark: SparkSession, sf_dir: str):
+    """Save the derived tables once, as a map's store would have them, and read them inside."""
+    for f in (certs, domain_certs, policies, domain_policies, dirty):
+        _SAVED[f.__name__, sf_dir] = cut(f(spark, sf_dir), f.__name__)
+    try:
+        yield
+    finally:
+        _SAVED.clear()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,6 +43,7 @@ def _id(*parts) -> F.Column:
     return F.sha2(F.concat(*[F.lit(p) if isinstance(p, str) and (p.endswith(":") or p in (":", "d", ".example.com")) else F.col(p).cast("string") for p in parts]), 256)
 
 
+@_derived
 def certs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, parent, expiration``: regions, nations, suppliers, and a leaf per distinct lineitem."""
     r, n, s, li = (table(spark, sf_dir, x) for x in ("region", "nation", "supplier", "lineitem"))
@@ -27,23 +57,27 @@ def certs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.unionByName(mid).unionByName(low).unionByName(leaf)
 
 
+@_derived
 def domain_certs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``domain_id, id``."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     return li.select(_id("d", "l_partkey", ".example.com").alias("domain_id"), _id("cert:", "l_orderkey", ":", "l_linenumber", ":", "l_partkey", ":", "l_suppkey").alias("id"))
 
 
+@_derived
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, parent``: a policy per customer under one per nation."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     return c.select(_id("policy:", "c_custkey").alias("id"), _id("pol-nation:", "c_nationkey").alias("parent")).unionByName(n.select(_id("pol-nation:", "n_nationkey").alias("id"), F.lit(None).cast("string").alias("parent")))
 
 
+@_derived
 def domain_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") * 2)
     return c.select(_id("d", "k", ".example.com").alias("domain_id"), _id("policy:", "c_custkey").alias("id"))
 
 
+@_derived
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every linked domain, and some without links."""
     stale = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.sha2(F.concat(F.lit("stale"), F.col("p_partkey").cast("string"), F.lit(".example.com")), 256).alias("domain_id"))

@@ -301,14 +301,20 @@ def _hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("name")).distinct()
 
 
-_SUFFIXES = "(" + ", ".join(f"'{s}'" for s in dn.SUFFIXES) + ")"
+def _suffix(x: str) -> str:
+    """SQL: whether x is a public suffix by the default rules."""
+    some = lambda xs: "(" + ", ".join(f"'{s}'" for s in sorted(xs)) + ")"
+    under = f"(len(string_split({x}, '.')) = 2 AND string_split({x}, '.')[2] IN {some(dn.DEFAULT.all_under)})"
+    return f"(({x} IN {some(dn.DEFAULT.suffixes)} OR regexp_full_match({x}, '[a-z][a-z]') OR {under}) AND {x} NOT IN {some(dn.DEFAULT.exceptions)})"
+
+
 _LABEL = r"'^(\*|[A-Za-z0-9]|[A-Za-z0-9][A-Za-z0-9-]{0,61}[A-Za-z0-9])$'"
-_VALID = rf"(regexp_matches(name, '^(\*\.)?[^*]*$') AND length(name) <= 255 AND name NOT IN {_SUFFIXES} AND len([x FOR x IN string_split(name, '.') IF NOT regexp_matches(x, {_LABEL})]) = 0)"
+_VALID = rf"(regexp_matches(name, '^(\*\.)?[^*]*$') AND length(name) <= 255 AND NOT {_suffix('name')} AND len([x FOR x IN string_split(name, '.') IF NOT regexp_matches(x, {_LABEL})]) = 0)"
 _NAMES = _HOSTS + rf""",
 s0 AS (SELECT name, {_VALID} AS valid, CASE WHEN length(name) > 2 THEN regexp_replace(name, '^\*\.', '') ELSE name END AS b0 FROM hosts),
 s1 AS (SELECT name, valid, CASE WHEN length(b0) > 4 THEN regexp_replace(b0, '^www\.', '') ELSE b0 END AS bare FROM s0),
 s2 AS (SELECT *, string_split(bare, '.') AS l, len(string_split(bare, '.')) AS n FROM s1),
-s3 AS (SELECT *, coalesce(list_max([i FOR i IN range(1, n + 1) IF array_to_string(l[n-i+1:n], '.') IN {_SUFFIXES}]), 0) AS k FROM s2),
+s3 AS (SELECT *, coalesce(list_max([i FOR i IN range(1, n + 1) IF {_suffix("array_to_string(l[n-i+1:n], '.')")}]), 0) AS k FROM s2),
 s4 AS (SELECT *, CASE WHEN k > 0 AND n > k THEN k + 1 ELSE n END AS base FROM s3)"""
 
 
@@ -366,12 +372,12 @@ def policy_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN 'y' WHEN 1 THEN 'w' WHEN 2 THEN 'd' WHEN 3 THEN 'h' WHEN 4 THEN 'ms' ELSE 's' END AS u FROM customer)
-SELECT k, k * CASE u WHEN 'y' THEN 31536000000000000 WHEN 'w' THEN 604800000000000 WHEN 'd' THEN 86400000000000 WHEN 'h' THEN 3600000000000 WHEN 'ms' THEN 1000000 ELSE 1000000000 END AS ns FROM t WHERE k <= 200""")
+SELECT k, k * CASE u WHEN 'y' THEN 31536000000000000 WHEN 'w' THEN 604800000000000 WHEN 'd' THEN 86400000000000 WHEN 'h' THEN 3600000000000 WHEN 'ms' THEN 1000000 ELSE 1000000000 END AS ns FROM t""")
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duration parsing."""
     k = F.col("c_custkey")
     unit = F.when(k % 6 == 0, "y").when(k % 6 == 1, "w").when(k % 6 == 2, "d").when(k % 6 == 3, "h").when(k % 6 == 4, "ms").otherwise("s")
-    return table(spark, sf_dir, "customer").where("c_custkey <= 200").select(k.alias("k"), times.parse_duration(F.concat(k.cast("string"), unit)).alias("ns"))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), times.parse_duration(F.concat(k.cast("string"), unit)).alias("ns"))
 
 
 @query("SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3 FROM events GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +61,47 @@ def parse_quoted(rows: DataFrame) -> DataFrame:
     return rows.where("disposition = 'fallback'").select("value").mapInArrow(run, "value string, cert string, chain string, expiration string")
 
 
-def read_bundles(spark: SparkSession, paths: list[str] | str, now: int, skip_missing: bool = False) -> DataFrame:
-    """``cert, chain, expiration`` (seconds) of rows that have not expired at ``now``."""
-    lines = spark.read.option("ignoreMissingFiles", str(skip_missing).lower()).text(paths)
+FAILFAST, PERMISSIVE = "FAILFAST", "PERMISSIVE"
+
+
+def bundle_rows(spark: SparkSession, paths: list[str] | str, skip_missing: bool = False) -> DataFrame:
+    """``value, cert, chain, expiration, error`` of every line; ``error`` says what is wrong with a bad one.
+
+    ``chain`` has the parts of the chain field, an empty field one empty part, which
+    no certificate can be decoded from.  ``expiration`` is the whole seconds before
+    its one full stop.  Truncated archives fail the job.
+    """
+    lines = spark.read.option("ignoreMissingFiles", str(skip_missing).lower()).option("ignoreCorruptFiles", "false").text(paths)
     rows = split_lines(lines)
-    both = rows.where("disposition = 'ok'").select("cert", "chain", "expiration").unionByName(parse_quoted(rows).select("cert", "chain", "expiration").where("cert is not null"))
-    seconds = F.substring_index("expiration", ".", 1).try_cast("long")
-    return both.withColumn("expiration", seconds).where(F.col("expiration") >= now).withColumn("chain", F.filter(F.split("chain", ";"), lambda x: x != ""))
+    good = rows.where("disposition <> 'fallback'").select("value", "cert", "chain", "expiration", F.when(F.col("disposition") == "error", "not a bundle line").alias("error"))
+    slow = parse_quoted(rows).select("value", "cert", "chain", "expiration", F.when(F.col("cert").isNull(), "not a bundle line").alias("error"))
+    both = good.unionByName(slow)
+    parts = F.split("expiration", r"\.", -1)
+    seconds = F.when(F.size(parts) == 2, F.element_at(parts, 1).try_cast("long"))
+    error = F.coalesce("error", F.when(seconds.isNull(), "no expiration"))
+    return both.select("value", "cert", F.split("chain", ";", -1).alias("chain"), seconds.alias("expiration"), error.alias("error"))
+
+
+def checked(rows: DataFrame, mode: str) -> DataFrame:
+    """Rows without ``error``; with FAILFAST a bad one fails the job."""
+    if mode not in (FAILFAST, PERMISSIVE):
+        raise ValueError(f"mode {mode}")
+    if mode == FAILFAST:
+        rows = rows.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.col("error"), F.lit(": "), F.substring("value", 1, 200)))))
+    return rows.where("error is null").drop("error")
+
+
+def read_bundles(spark: SparkSession, paths: list[str] | str, now: int, skip_missing: bool = False, mode: str = FAILFAST) -> DataFrame:
+    """``cert, chain, expiration`` (seconds) of rows that have not expired at ``now``.
+
+    FAILFAST: a bad line fails the job; PERMISSIVE: it is left out (:func:`bundle_rows` shows it).
+    """
+    return checked(bundle_rows(spark, paths, skip_missing), mode).select("cert", "chain", "expiration").where(F.col("expiration") >= now)
+
+
+def sorted_bundles(paths: list[str]) -> list[str]:
+    """By first index, then last."""
+    return sorted(paths, key=lambda p: tuple(map(int, re.search(_NAME, p).groups())))
 
 
 def policies_json(spark: SparkSession, path: str) -> DataFrame:

@@ -137,7 +137,7 @@ def test_csv_lines(spark, tmp_path):
     (tmp_path / "bundled").mkdir()
     (tmp_path / "bundled" / "0-5.csv").write_text("\n".join(lines) + "\n")
     assert [(r.start, r.end, r.rows) for r in bundles.discover(spark, str(tmp_path)).collect()] == [(0, 5, 6)]
-    rows = bundles.read_bundles(spark, str(tmp_path / "bundled" / "0-5.csv"), now=1000)
+    rows = bundles.read_bundles(spark, str(tmp_path / "bundled" / "0-5.csv"), now=1000, mode="PERMISSIVE")
     assert sorted((r.cert, tuple(r.chain)) for r in rows.collect()) == [("CE", ("c",)), ("CERT", ("a", "b"))]
 
 
@@ -207,3 +207,227 @@ def test_trie_update(spark):
     none, empty = smt.update(new, fresh, fresh.select("key", F.lit(None).cast("string").alias("value")))
     assert smt.root_of(none) is None and empty.count() == 0 and none.count() == 0
     assert {(r.key, r.value) for r in smt.get(fresh, asked.limit(60)).collect()} >= {(h("k282"), h("new282")), (h("k281"), None)}
+
+
+def test_public_suffixes(spark, tmp_path):
+    """Wildcards, exceptions and second levels, by expressions and by the join with a list from a file."""
+    rows = [("a.example.gr", "example.gr"), ("foo.bar.com.mx", "bar.com.mx"), ("shop.example.co.za", "example.co.za"), ("x.y.z.ck", "y.z.ck"), ("a.www.ck", "www.ck"), ("a.b.example.com", "example.com"), ("host.local", "host.local")]
+    df = spark.createDataFrame(rows, "name string, want string")
+    assert {r.name: r.got for r in df.select("name", domains.e2ld(F.col("name")).alias("got")).collect()} == dict(rows)
+    assert not spark.range(1).select(domains.is_valid(F.lit("gr"))).first()[0] and not spark.range(1).select(domains.is_valid(F.lit("foo.ck"))).first()[0]
+    (tmp_path / "list.dat").write_text("// x\n// ===BEGIN ICANN DOMAINS===\ncom\nmx\ncom.mx\n*.ck\n!www.ck\n*.kawasaki.jp\n!city.kawasaki.jp\njp\n// ===END ICANN DOMAINS===\nprivate.com\n")
+    rules = domains.read_rules(str(tmp_path / "list.dat"))
+    names = spark.createDataFrame([(x,) for x in ("a.com", "b.a.com.mx", "x.y.ck", "a.www.ck", "q.w.e.kawasaki.jp", "a.city.kawasaki.jp", "p.private.com", "none.zz")], "name string")
+    want = {"a.com": "com", "b.a.com.mx": "com.mx", "x.y.ck": "y.ck", "a.www.ck": "ck", "q.w.e.kawasaki.jp": "e.kawasaki.jp", "a.city.kawasaki.jp": "kawasaki.jp", "p.private.com": "com", "none.zz": None}
+    assert {r.name: r.suffix for r in domains.with_suffix(names, domains.rules_table(spark, rules)).collect()} == want
+    got = names.select("name", domains.suffix_labels(F.col("name"), rules).alias("k")).collect()
+    assert {r.name: ".".join(r.name.split(".")[-r.k :]) if r.k else None for r in got} == want
+
+
+def _certificate(subject: str, issuer: str, not_after: str = "20500101000000Z", *names: str) -> bytes:
+    name = lambda cn: _der(0x30, _der(0x31, _der(0x30, _der(6, bytes.fromhex("550403")), _der(0x0C, cn.encode()))))
+    san = _der(0xA3, _der(0x30, _der(0x30, _der(6, bytes.fromhex("551d11")), _der(4, _der(0x30, *[_der(0x82, x.encode()) for x in names]))))) if names else b""
+    return _der(0x30, _der(0x30, _der(0xA0, _der(2, b"\2")), _der(2, b"\1"), _der(0x30), name(issuer), _der(0x30, _der(0x17, b"200101000000Z"), _der(0x18, not_after.encode())), name(subject), _der(0x30), san), _der(0x30), _der(3, b"\0"))
+
+
+def _line(leaf: bytes, *chain: bytes, expiration: str = "2524608000.0") -> str:
+    import base64
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    return f"0,1,2,{b64(leaf)},{';'.join(map(b64, chain))},san,{expiration}"
+
+
+def test_ingest_to_proofs(spark, tmp_path):
+    """From gz bundles to verified proofs: batches, journal, incremental roots, payloads, pruning."""
+    import gzip
+
+    from maploom.operators import serving
+    from maploom.streaming import ingest
+    from maploom.streaming.journal import Journal
+
+    root = _certificate("root", "root")
+    mid = _certificate("mid", "root", "20400101000000Z")
+    leaf = [_certificate(f"h{k}.example.com", "mid", "20300101000000Z" if k % 2 else "20350101000000Z", f"h{k}.example.com", "example.com") for k in range(6)]
+    old = _certificate("old.example.com", "mid", "20210101000000Z", "old.example.com")
+    folder = tmp_path / "https:__ct.example.com_2025"
+    (folder / "bundled").mkdir(parents=True)
+    for name, rows in (("0-2.gz", leaf[:3]), ("3-6.gz", leaf[3:])):
+        text = "\n".join([*[_line(x, mid, root) for x in rows], _line(leaf[0], mid, root, expiration="5.0"), _line(old, mid, root)])
+        (folder / "bundled" / name).write_bytes(gzip.compress((text + "\n").encode()))
+    store, journal = Store(spark, str(tmp_path / "store")), str(tmp_path / "journal.json")
+    stats = ingest.run(spark, store, str(folder), journal, files_at_once=1, now=1_700_000_000)
+    assert (stats["rows"], stats["expired"], stats["files"]) == (10, 2, 2) and stats["certs_per_second"] > 0
+    assert store.read("certs").count() == 8 and store.read("domains").count() == 7 and store.read("domain_certs").count() == 12
+    assert store.read("dirty").where("not coalesced").count() == 0 and store.load_root() == stats["root"] == smt.root(store.read("leaves"))
+    assert ingest.run(spark, store, str(folder), journal, now=1_700_000_000) == {}  # all files are in the journal
+    assert ingest.run(spark, store, str(folder), journal, "recordctsize") == {"url": "https://ct.example.com/2025", "log_size": 7}
+    assert store.log_state("https://ct.example.com/2025") == (7, None) and store.log_state("other") == (0, None)
+
+    names = spark.createDataFrame([("h1.example.com",), ("none.example.com",), ("com",)], "name string")
+    p, q, e = (1 << 607) - 1, (1 << 521) - 1, 65537
+    head = serving.signed_head(store, p * q, pow(e, -1, (p - 1) * (q - 1)))
+    assert crypto.rsa_verify(bytes.fromhex(head["root"]), bytes.fromhex(head["signature"]), p * q)
+    rows = serving.get_proofs(store, names, head).collect()
+    assert {(r.domain_name, r.included) for r in rows if r.error is None} == {("example.com", True), ("h1.example.com", True), ("none.example.com", False)}
+    assert [r.name for r in rows if r.error] == ["com"] and all(serving.verify(head["root"], r) for r in rows if r.error is None)
+    one = next(r for r in rows if r.domain_name == "h1.example.com")
+    assert one.cert_ids == "".join(sorted(hashlib.sha256(x).hexdigest() for x in (leaf[1], mid, root))) and one.policy_ids_id == serving.ZERO_ID
+    asked = spark.createDataFrame([("r", one.cert_ids + "0" * 64)], "request string, ids string")
+    got = serving.get_payloads(store, asked, "certs").orderBy("pos").collect()
+    assert [bool(r.payload) for r in got] == [True, True, True, False]
+    with pytest.raises(Exception, match="not a list of ids"):
+        serving.get_payloads(store, spark.createDataFrame([("r", "ab")], "request string, ids string")).collect()
+
+    before = store.load_root()
+    raw = '{"T":"*pc","O":{"Domain":"example.com"}}'
+    ingest.add_policies(store, spark.createDataFrame([(hashlib.sha256(raw.encode()).hexdigest(), "example.com", raw, None)], "policy_id string, domain string, raw string, expiration timestamp"))
+    after = ingest.prune_and_update(store, 1_900_000_000)  # in 2030: the odd leaves have expired
+    assert after != before == store.manifest()["past_roots"][0] and after == smt.root(store.read("leaves")) and store.read("dirty").count() == 0
+    assert store.read("certs").count() == 5 and {r.included for r in serving.get_proofs(store, names.limit(1)).where("domain_name = 'h1.example.com'").collect()} == {False}
+    assert ingest.prune_and_update(store, 4_000_000_000) is not None and store.read("certs").count() == 0  # the policy stays
+    assert store.expire() > 0 and store.read("domain_payloads").count() == 1
+    assert Journal(journal, str(folder)).job["smt"]
+
+
+def test_bad_bundles(spark, tmp_path):
+    import gzip
+
+    from maploom.sources import bundles as b
+    from maploom.streaming import ingest
+
+    good, mid = _certificate("a.com", "mid", "20500101000000Z", "a.com"), _certificate("mid", "mid")
+    lines = [_line(good, mid), "", "a,b", _line(good), _line(good, b"no certificate"), "0,1,2,%%%,x,san,2524608000.0", _line(good, mid, expiration="soon"), _line(good, mid, expiration="1.2.3")]
+    path = tmp_path / "0-9.csv"
+    path.write_text("\n".join(lines) + "\n")
+    rows = b.bundle_rows(spark, str(path))
+    assert rows.where("error is not null").count() == 4
+    with pytest.raises(Exception, match="not a bundle line|no expiration"):
+        b.read_bundles(spark, str(path), 0).collect()
+    certs, bad = ingest.decoded(b.read_bundles(spark, str(path), 0, mode="PERMISSIVE"), 0, "PERMISSIVE")
+    assert {r.cert_id for r in certs.collect()} == {hashlib.sha256(x).hexdigest() for x in (good, mid)} and bad.count() == 3
+    with pytest.raises(Exception):  # noqa: B017
+        ingest.decoded(b.read_bundles(spark, str(path), 0, mode="PERMISSIVE"), 0)[0].collect()
+    cut = tmp_path / "10-19.gz"
+    cut.write_bytes(gzip.compress(("\n".join(_line(good, mid, expiration=f"{2524608000 + k}.5") for k in range(2000)) + "\n").encode())[:-400])
+    with pytest.raises(Exception):  # noqa: B017
+        b.read_bundles(spark, str(cut), 0).count()
+    assert b.sorted_bundles(["x/10-19.gz", "x/9-9.gz", "x/0-8.csv"]) == ["x/0-8.csv", "x/9-9.gz", "x/10-19.gz"]
+
+
+def test_journal(tmp_path):
+    from maploom.streaming import journal as j
+
+    path = str(tmp_path / "journal.json")
+    first = j.Journal(path, "logs/x", "onlyingest")
+    assert first.does("ingest") and not first.does("smt")
+    assert first.pending(["x/10-19.gz", "x/0-9.gz", "x/20-29.csv"]) == ["x/0-9.gz", "x/10-19.gz"]
+    first.commit(["x/0-9.gz", "x/20-29.gz"])
+    again = j.Journal(path, "logs/x", with_csv=True)
+    assert again.pending(["x/0-9.gz", "x/5-12.gz", "x/10-19.csv", "x/20-25.gz"]) == ["x/5-12.gz", "x/10-19.csv"] and again.size() == 10
+    again.commit(["x/10-19.csv"], coalesced=True)
+    assert again.job["completed"] == {"x": [[0, 29]]} and again.job["coalesced"] and not again.job["smt"] and len(j.Journal(path, "logs/x").jobs) == 3
+    with pytest.raises(ValueError):
+        j.completed_size([[5, 9]])
+    with pytest.raises(ValueError):
+        j.parse_interval("9-5.gz")
+    with pytest.raises(ValueError):
+        j.Journal(path, "logs/x", "everything")
+
+
+def test_log_source(spark, tmp_path):
+    """A log that answers from files: batch ranges, short answers, a stream by tree size."""
+    import base64
+    import json
+
+    from maploom.sources import ctlog
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    sized = lambda x: len(x).to_bytes(3, "big") + x
+
+    def entry(k):
+        chain = sized(sized(b"mid") + sized(b"root"))
+        head = b"\0\0" + (1000 + k).to_bytes(8, "big")
+        if k % 2:
+            return {"leaf_input": b64(head + b"\0\1" + bytes(32) + sized(b"tbs")), "extra_data": b64(sized(b"cert%d" % k) + chain)}
+        return {"leaf_input": b64(head + b"\0\0" + sized(b"cert%d" % k) + b"\0\0"), "extra_data": b64(chain)}
+
+    head = {"tree_size": 10, "timestamp": 1, "sha256_root_hash": b64(b"r" * 32), "tree_head_signature": b64(b"s")}
+    (tmp_path / "get-sth.json").write_text(json.dumps(head))
+    for a in range(10):
+        for b in range(a, 10):
+            (tmp_path / f"get-entries-{a}-{b}.json").write_text(json.dumps({"entries": [entry(k) for k in range(a, min(b + 1, a + 3))]}))  # never more than three
+    spark.dataSource.register(ctlog.LogSource)
+    read = lambda **o: spark.read.format("ctlog").options(url=f"file://{tmp_path}", batch=4, part=5, **o).load()
+    rows = read().orderBy("index").collect()
+    assert [(r["index"], r.timestamp, bytes(r.cert), [bytes(c) for c in r.chain]) for r in rows] == [(k, 1000 + k, b"cert%d" % k, [b"mid", b"root"]) for k in range(10)]
+    assert [r["index"] for r in read(start=3, end=6).orderBy("index").collect()] == [3, 4, 5, 6]
+    stream = spark.readStream.format("ctlog").options(url=f"file://{tmp_path}", batch=4, part=5).load().select("index")
+    out = str(tmp_path / "out")
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r["index"] for r in spark.read.schema("index long").parquet(out).collect()) == list(range(10))
+    assert not ctlog.is_tree_head(head | {"sha256_root_hash": "?"}) and not ctlog.is_tree_head({})
+
+
+def test_signatures():
+    from maploom.functions import signatures as s
+
+    p, q, e = (1 << 607) - 1, (1 << 521) - 1, 65537
+    n, d = p * q, pow(e, -1, (p - 1) * (q - 1))
+    number = lambda x: _der(2, x.to_bytes(x.bit_length() // 8 + 1, "big"))
+    key = _der(0x30, _der(0x30), _der(3, b"\0" + _der(0x30, number(n), number(e))))
+    import base64
+
+    signer = {"SerialNumber": 1, "Domain": "a.com", "CanIssue": True, "CanOwn": True, "PublicKey": base64.b64encode(key).decode(), "SPCTs": [{"Version": 1}]}
+    request = {"SerialNumber": 2, "Domain": "b.a.com", "PolicyAttributes": {"AllowedCAs": ["CA"]}}
+    owned = s.sign_as_owner(signer, request, n, d)
+    assert s.verify_owner(signer, owned) and not s.verify_owner(signer, owned | {"Domain": "c.a.com"}) and not s.verify_owner(signer | {"Domain": "x.com"}, owned)
+    issued = s.sign_as_issuer(signer, owned, n, d)
+    assert s.verify_issuer(signer, issued) and s.verify_owner(signer, issued) and not s.verify_issuer(signer, issued | {"SerialNumber": 3})
+    stamp = s.sign_timestamp(issued, 1, b"log", "2025-01-01T00:00:00Z", n, d)
+    logged = issued | {"SPCTs": [stamp]}
+    assert s.verify_issuer(signer, logged) and s.signer_hash(signer) == s.signer_hash({k: v for k, v in signer.items() if k != "SPCTs"})
+    assert s.verify_timestamp(issued, stamp, n) and not s.verify_timestamp(owned, stamp, n)
+    for bad in ((signer, owned), (signer | {"CanOwn": False}, request)):
+        with pytest.raises(ValueError):
+            s.sign_as_owner(*bad, n, d)
+    with pytest.raises(ValueError):
+        s.sign_as_issuer(signer, issued, n, d)
+    assert s.parse(s.serialize(issued))[:2] == ("pc", True) and s.parse(s.serialize([owned, issued]))[0] == "[]" and s.equal(issued, dict(reversed(issued.items())))
+    with pytest.raises(ValueError):
+        s.parse(b'{"T":"other","O":{}}')
+
+
+def test_log_consistency():
+    leaves = [crypto.log_leaf(bytes([i])) for i in range(9)]
+
+    def proof(m, rows, whole=True):
+        """Consistency proof of RFC 6962, by its definition."""
+        n = len(rows)
+        if m == n:
+            return [] if whole else [crypto.log_root(rows)]
+        k = 1 << (n - 1).bit_length() - 1
+        if m <= k:
+            return [*proof(m, rows[:k], whole), crypto.log_root(rows[k:])]
+        return [*proof(m - k, rows[k:], False), crypto.log_root(rows[:k])]
+
+    for n in range(1, 10):
+        for m in range(1, n + 1):
+            roots = crypto.log_root(leaves[:m]), crypto.log_root(leaves[:n])
+            assert crypto.verify_log_consistency(m, n, *roots, proof(m, leaves[:n]))
+            assert m == n or not crypto.verify_log_consistency(m, n, roots[1], roots[0], proof(m, leaves[:n]))
+
+
+def test_pem_and_times(spark, tmp_path):
+    from maploom.sources import pem
+
+    a, b = _certificate("a", "a"), _certificate("b", "b")
+    (tmp_path / "x.pem").write_text(pem.write("CERTIFICATE", a) + "text\n" + pem.write("PUBLIC KEY", b"k") + pem.write("CERTIFICATE", b))
+    assert [(r.place, bytes(r.der)) for r in pem.read_certificates(spark, str(tmp_path / "x.pem")).orderBy("place").collect()] == [(0, a), (1, b)]
+    number = lambda x: _der(2, x.to_bytes(2, "big"))
+    key = _der(0x30, _der(2, b"\0"), number(3233), number(17), number(2753))
+    assert pem.rsa_private_key(pem.write("RSA PRIVATE KEY", key)) == (3233, 17, 2753) == pem.rsa_private_key(pem.write("PRIVATE KEY", _der(0x30, _der(2, b"\0"), _der(0x30), _der(4, key))))
+    r = spark.range(1).select(times.time_of_day(F.lit("07:30")).alias("d"), times.to_seconds(times.next_time_of_day(times.from_seconds(F.lit(86400 + 30000)), F.lit(27000))).alias("n"), times.to_seconds(times.next_time_of_day(times.from_seconds(F.lit(86400)), F.lit(27000))).alias("m")).first()
+    assert (r.d, r.n, r.m) == (27000, 2 * 86400 + 27000, 86400 + 27000)
+    with pytest.raises(Exception, match="not a time of day"):
+        spark.range(1).select(times.time_of_day(F.lit("25:00"))).collect()
