@@ -7,6 +7,10 @@ documents that hold a benchmark item go; the rest is encoded.
 Rows are told apart by marks of their own, never by doc_id: a null doc_id is like
 any other, and rows that share a doc_id are judged by their own texts.  Texts
 without words are near duplicates of nothing; of equal rows of them one stays.
+A null or empty text fails the first stage.  Texts are read whole, however long.
+Only the columns of documents (and item_id and text of benchmark) are read; others,
+whatever their names, never matter, and nulls in lang, source and n_chars stay.  An
+empty table of documents gives no rows; without benchmark items no document goes.
 """
 
 from __future__ import annotations
