@@ -24,7 +24,9 @@ only source of error.
 
 Defined results: a null or empty text, or one without words, has no shingles,
 links with nothing and is its own component.  Repeated rows and ties are equal
-sets, hence linked.  An empty table gives no rows.
+sets, hence linked.  A null doc_id is no component's name: its row is named by
+the others that it links with, or by null.  Texts are read whole, however long.
+Columns other than doc_id and text are never read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -318,7 +320,7 @@ def open_tiles(tiles: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(mixed.select("token", F.col("main.comp").alias("main"), "g"), "token")
 
 
-def main_pairs(rows: DataFrame, tested: DataFrame, turn: int, seeds: int = 6) -> DataFrame:
+def main_pairs(rows: DataFrame, tested: DataFrame, turn: int, seeds: int = 4) -> DataFrame:
     """Pairs of members outside their tile's main component with a few members of it, chosen by hash, others in each turn.
 
     In a large group of near copies nearly all members link with some of these, so

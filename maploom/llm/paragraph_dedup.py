@@ -9,9 +9,19 @@ exact Jaccard similarity of their sets of five-word shingles settle each pair.
 Components of the links, and paragraphs with equal keys, are clusters; a cluster
 keeps its first paragraph by (doc_id, position) and loses the others.
 
-Defined results: a null or empty text has no paragraphs.  Rows with the same
-doc_id are the same document: the first paragraph stays in all of them.  An
-empty table gives no rows.
+A passage inside longer lines, or wrapped otherwise, is not a paragraph of its own.
+With ``passages`` the words of each text are also cut into pieces where the words
+themselves say (:class:`Pieces`), whatever the lines; a run of pieces that occur
+elsewhere too, of ``PASSAGE`` words or more, is a shared passage.  The document with
+the least doc_id keeps a piece.  Passages of 51 random words are found with
+probability 0.99; shorter lines than MIN_WORDS and runs than PASSAGE are the work
+of line and document deduplication.
+
+Defined results: a null or empty text has no paragraphs.  Rows with the same doc_id
+are the same document: the first paragraph stays in all of them.  A row without a
+doc_id loses what other documents keep, and keeps what only such rows have.  Texts
+are read whole, however long.  Columns other than doc_id and text are never read.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -316,6 +326,7 @@ def paragraph_dedup(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS, passa
             tables.append(tuple(rows[c].to_numpy()[order] for c in names))
             del rows
         handle = spark.sparkContext.broadcast(tables)
+        work.clear()
 
         def run(batches):
             for batch, texts in tn.chunks(batches):
