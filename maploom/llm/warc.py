@@ -10,14 +10,22 @@ the largest page_id is a response and the others are revisits that refer to it;
 smaller payloads are all responses.  A file gets its name from the task's
 attempt; only files of attempts that Spark commits are in the index.
 
+URIs are percent-encoded; record ids are name-based UUIDs of the page_id, which is
+also a header of its own.
+
 Defined results: a null html is an empty payload; a null url is an empty URI.
-Rows that share the largest page_id of a group are all responses.  An empty table gives no rows.
+Rows that share the largest page_id of a group are all responses, and so are rows
+without a page_id if their payload has no other.  Repeated rows keep a record each.
+A very long payload is one record.  Other columns, whatever their names, are never
+read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +35,10 @@ from .common import Workspace, map_arrow, small_batches
 from .token_files import file_system
 
 MIN_REVISIT, FILE_BYTES = 1000, 256 << 20
+#: Bytes of an archive that one task reads back.
+READ_BYTES = 8 << 20
+#: Namespace of the record ids; characters of a URI that are not percent-encoded ("%" is, so that reading undoes it).
+PAGES, URI_SAFE = uuid.uuid5(uuid.NAMESPACE_URL, "pages"), ":/?#[]@!$&'()*+,;=-._~"
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, record_type string, refers_to long"
 
 
@@ -42,12 +54,19 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "payload", "digest", F.when(F.col("chosen").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("chosen").alias("refers_to"))
 
 
+def record_urn(page_id: int | None) -> str:
+    """The record id of a page: a name-based UUID, or a random one for a page without an id."""
+    return (uuid.uuid4() if page_id is None else uuid.uuid5(PAGES, str(page_id))).urn
+
+
 def _record(r: dict) -> bytes:
     """A record as a gzip member."""
     kind, body = r["record_type"], b"" if r["record_type"] == "revisit" else r["payload"]
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{r['page_id']}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {r['url'].encode('unicode_escape').decode()}", f"WARC-Payload-Digest: sha1:{r['digest']}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_urn(r['page_id'])}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {quote(r['url'], safe=URI_SAFE)}", f"WARC-Payload-Digest: sha1:{r['digest']}"]
+    if r["page_id"] is not None:
+        lines.append(f"Page-ID: {r['page_id']}")
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{r['refers_to']}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_urn(r['refers_to'])}>", f"Refers-To-Page-ID: {r['refers_to']}"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + body
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http)}"]
     raw = "\r\n".join(lines).encode() + b"\r\n\r\n" + http + b"\r\n\r\n"
@@ -123,19 +142,20 @@ def read(spark: SparkSession, base: str, index: DataFrame, max_gap: int = 1 << 1
                 for r in rows[k:j]:
                     head, payload = parse(block[r["offset"] - lo : r["offset"] - lo + r["length"]])
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    refers = head.get("WARC-Refers-To")
+                    refers = head.get("Refers-To-Page-ID")
                     if refers is None and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"damaged record at {r['offset']} of {name}")
-                    out["page_id"].append(None if (i := head["WARC-Record-ID"][10:-1]) == "None" else int(i))
-                    out["url"].append(head["WARC-Target-URI"].encode().decode("unicode_escape"))
+                    out["page_id"].append(int(head["Page-ID"]) if "Page-ID" in head else None)
+                    out["url"].append(unquote(head["WARC-Target-URI"]))
                     out["record_type"].append(head["WARC-Type"])
-                    out["refers_to"].append(int(refers[10:-1]) if refers else None)
+                    out["refers_to"].append(int(refers) if refers else None)
                     out["payload_digest"].append(digest)
                     out["payload"].append(None if refers else payload)
                 yield out
                 k = j
 
-    rows = index.withColumn("stretch", (F.col("offset") / F.lit(32 << 20)).cast("long")).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    rows = index.withColumn("stretch", F.floor(F.col("offset") / (READ_BYTES // 4))).repartition(1 + total // READ_BYTES, "file", "stretch").sortWithinPartitions("file", "offset")
     return map_arrow(rows.select("file", "offset", "length"), run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary")
 
 
