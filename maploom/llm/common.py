@@ -62,6 +62,10 @@ class Workspace:
         out._saved_at, out._table = path, table
         return out
 
+    def clear(self) -> None:
+        """Delete the whole folder: for results that read nothing of it any more."""
+        delete(self.spark, self.base)
+
     def drop(self, *saved: DataFrame) -> None:
         """Delete saved tables that are no longer read, and let Spark clean old shuffles."""
         for df in saved:

@@ -174,6 +174,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, columns: tuple[str, ...] = (
     if hot.count() <= broadcast_keys:
         found = np.sort(hot.toPandas()["key"].to_numpy(np.int64))
         handle = spark.sparkContext.broadcast(found)
+        work.clear()
 
         def run(batches):
             table = handle.value

@@ -6,7 +6,9 @@ words) that lie in such n-grams, or in lines that occurred before, decides.
 
 Defined results: a null or empty text has no words, fails the base rule and is
 not kept.  Rows are judged one by one, so ties and repeated rows get equal
-results, and an empty table gives no rows.
+results, a null doc_id stays null, and an empty table gives no rows.  Texts are
+read whole, however long.  :func:`quality` reads doc_id and text only;
+:func:`keep_good` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ dummy prefix.  It gives the text back, except that a U+2581 of the text itself
 comes back as a space.
 
 Defined results: a null or empty text has no ids.  Repeated rows get equal
-results.  An empty table gives no rows.
+results; a null doc_id stays null.  A very long text is encoded whole.  Columns
+other than doc_id and text are never read.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,8 +15,10 @@ text is 2 modulo 4 are never used for learning.  Labels, lang, source and doc_id
 never enter a score.  Of several labels for a document the largest counts.
 
 Defined results: a null or empty text has the score of the intercept.  Repeated
-texts get equal scores.  Without labelled rows every score is 0.  An empty table
-gives no rows.
+texts get equal scores; a null doc_id is not held out.  If all labels are 1 every
+score is 1; if all are 0, or there are none, every score is 0.  Texts are read
+whole, however long.  Columns other than doc_id and text (of labels: doc_id and
+toxic) are never read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -199,7 +201,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, trigrams, work: Workspace) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes, their weights and the intercept."""
-    empty = np.empty(0, np.int64), np.empty(0), -50.0
+    none = np.empty(0, np.int64), np.empty(0)
     train = work.save(training_rows(docs, labels), "train")
 
     def list_features(batches):
@@ -212,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, trigrams, work: Workspace) -> tuple[
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     positive, negative = n.get(1, 0), n.get(0, 0)
     if not positive or not negative:
-        return empty
+        return *none, 50.0 if positive else -50.0
     counts = rows.select("toxic", F.explode("feature").alias("f")).groupBy("f").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).where("n >= 3")
     rate = positive / (positive + negative)
     gain = F.abs(F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * F.lit(rate * (1 - rate)))
@@ -257,6 +259,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trigrams = spark.sparkContext.broadcast(letter_trigrams(docs).tobytes())
     table, weights, intercept = fit(docs, labels, trigrams, work)
     handle = spark.sparkContext.broadcast((table, weights, intercept))
+    work.clear()
 
     def run(batches):
         table, weights, intercept = handle.value
