@@ -20,8 +20,12 @@ def coalesce(dirty: DataFrame, domain_certs: DataFrame, certs: DataFrame, domain
     domain's glued ids are one value, of at most 2 GB (some 33 million ids).
     """
     dirty = dirty.select("domain_id").distinct()
-    members = lambda links, nodes, kind: domain_members(links.join(dirty, "domain_id", "left_semi"), nodes).withColumn("kind", F.lit(kind))
-    rows = members(domain_certs, certs, "c").unionByName(members(domain_policies, policies, "p"))
+    # one closure for both kinds: a letter before each id keeps them apart
+    mark = lambda df, kind, *names: df.select(*[c if c == "domain_id" else F.concat(F.lit(kind), F.when(F.col(c) != "", F.col(c))).alias(c) for c in names])
+    links = mark(domain_certs, "c", "domain_id", "id").unionByName(mark(domain_policies, "p", "domain_id", "id"))
+    nodes = mark(certs, "c", "id", "parent").unionByName(mark(policies, "p", "id", "parent"))
+    rows = domain_members(links.join(dirty, "domain_id", "left_semi"), nodes)
+    rows = rows.select("domain_id", F.substring("id", 2, 64).alias("id"), F.substring("id", 1, 1).alias("kind"))
     rows = rows.unionByName(dirty.select("domain_id", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("kind")))
     rows = rows.repartition("domain_id").distinct()
     rows = rows.select("domain_id", "id", *[F.when(F.col("kind") == k, F.col("id")).alias(k) for k in "cp"])

@@ -36,6 +36,12 @@ def reachable(files: DataFrame, key: str, first: int, max_rows: int | None = Non
     return rows.groupBy(key).agg((F.max("end") + 1).alias("size"))
 
 
+def fair_split(total: int, active: list[int]) -> dict[int, int]:
+    """Shares of a total over the active partitions, the first ones with one more."""
+    base, rest = divmod(total, len(active)) if active else (0, 0)
+    return {p: base + (k < rest) for k, p in enumerate(active)}
+
+
 def apportion(weights: DataFrame, total: int) -> DataFrame:
     """``idx, share`` by largest remainders; ties to the smaller index."""
     whole = weights.agg(F.sum("weight").alias("all"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import shard
+from .closure import ancestors
 
 
 def presence(ids: DataFrame, table: DataFrame) -> DataFrame:
@@ -61,6 +62,23 @@ def unfold(chains: DataFrame) -> DataFrame:
     return rows.groupBy("cert_id").agg(F.max("parent_id").alias("parent_id"), F.min("level").alias("level"), F.max("names").alias("names"))
 
 
+def subject_name(common_name: Column, names: Column) -> Column:
+    """The common name, else the first other name that is not empty, else an empty text."""
+    return F.coalesce(F.when(common_name != "", common_name), F.try_element_at(F.filter(names, lambda x: x != ""), F.lit(1)), F.lit(""))
+
+
+def chains(certs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``cert_id, ancestor``: each leaf and the certificates above it, by issuer and subject, up to one that issued itself.
+
+    ``certs(cert_id, subject, issuer)``; of several certificates of a subject the
+    least id is taken.
+    """
+    by_name = certs.groupBy("subject").agg(F.min("cert_id").alias("parent"))
+    links = certs.join(by_name.withColumnRenamed("subject", "issuer"), "issuer", "left")
+    nodes = links.select(F.col("cert_id").alias("id"), F.when(F.col("issuer") != F.col("subject"), F.col("parent")).alias("parent"))
+    return ancestors(nodes, leaves.select(F.col("cert_id").alias("id"))).select(F.col("id").alias("cert_id"), "ancestor")
+
+
 def count_windows(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """Batches of ``size`` rows per key in order; the last may be short."""
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / size))

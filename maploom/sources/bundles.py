@@ -104,6 +104,25 @@ def sorted_bundles(paths: list[str]) -> list[str]:
     return sorted(paths, key=lambda p: tuple(map(int, re.search(_NAME, p).groups())))
 
 
+def plan_files(files: list[tuple[int, int, str]], last: int, max_rows: int | None = None) -> tuple[int, list[str]]:
+    """(size, paths) that can be read on from index ``last``, of ``(start, end, path)``.
+
+    The files chain without a gap; an error if two begin alike.  At most ``max_rows``
+    rows, but always one file if there is any.
+    """
+    by_start: dict[int, tuple[int, str]] = {}
+    for start, end, path in files:
+        if start in by_start:
+            raise ValueError(f"two files begin at {start}")
+        by_start[start] = end, path
+    at, paths = last, []
+    while at in by_start and (not paths or max_rows is None or by_start[at][0] + 1 - last <= max_rows):
+        end, path = by_start[at]
+        paths.append(path)
+        at = end + 1
+    return at, paths
+
+
 def policies_json(spark: SparkSession, path: str) -> DataFrame:
     """``policy_id, tag, domain, raw`` of tagged JSON documents, one per file; ids hash the raw bytes."""
     raw = spark.read.text(path, wholetext=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,31 @@ def run(stream: DataFrame, store: Store, checkpoint: str):
     return query
 
 
+def follow_logs(spark: SparkSession, store: Store, urls: list[str], checkpoint: str, now: int, mode: str = "FAILFAST", **options) -> dict[str, int]:
+    """Read each log up to its tree size into the store; the sizes.
+
+    A stream for each log, with a checkpoint of its own; a log's state is saved once
+    all entries up to its size are in the store.
+    """
+    from ..sources.ctlog import Log, LogSource
+    from .ingest import add_certificates, decoded_ders
+
+    spark.dataSource.register(LogSource)
+    sizes = {}
+    for url in urls:
+        head = Log(url).head()
+        name = hashlib.sha256(url.encode()).hexdigest()[:16]
+
+        def apply(batch: DataFrame, _: int) -> None:
+            add_certificates(store, decoded_ders(batch.select(F.concat(F.array("cert"), F.col("chain")).alias("ders")), now, mode)[0])
+
+        query = spark.readStream.format("ctlog").options(url=url, **options).load().writeStream.foreachBatch(apply).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        store.save_log_state(url, head["tree_size"], head["tree_head_signature"])
+        sizes[url] = head["tree_size"]
+    return sizes
+
+
 def log_states(events: DataFrame) -> DataFrame:
     """``log, size``: what is covered from index 0 without a gap, of ``events(log, start, end)``."""
     return merge(events, "log").where("start = 0").select("log", (F.col("end") + 1).alias("size"))

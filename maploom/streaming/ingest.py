@@ -26,7 +26,12 @@ def decoded(rows: DataFrame, now: int, mode: str = bundles.FAILFAST) -> tuple[Da
     with FAILFAST they fail the job.
     """
     ders = F.transform(F.concat(F.array("cert"), F.col("chain")), lambda x: F.try_to_binary(x, F.lit("base64")))
-    rows = rows.select(ders.alias("ders")).withColumn("ids", F.transform("ders", lambda x: F.when(x.isNotNull(), F.sha2(x, 256))))
+    return decoded_ders(rows.select(ders.alias("ders")), now, mode)
+
+
+def decoded_ders(rows: DataFrame, now: int, mode: str = bundles.FAILFAST) -> tuple[DataFrame, DataFrame]:
+    """:func:`decoded` of ``rows(ders)``: the DER of each certificate of a chain, null for what could not be read."""
+    rows = rows.withColumn("ids", F.transform("ders", lambda x: F.when(x.isNotNull(), F.sha2(x, 256))))
     rows = cut(rows.dropDuplicates(["ids"]), "rows")
     blobs = rows.select(F.explode(F.arrays_zip("ids", "ders")).alias("x")).select(F.col("x.ids").alias("id"), F.coalesce("x.ders", F.lit(b"")).alias("der")).dropDuplicates(["id"])
     parsed = x509.decode(blobs.select("der"), strict=mode == bundles.FAILFAST)

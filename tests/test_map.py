@@ -369,6 +369,45 @@ def test_log_source(spark, tmp_path):
     assert not ctlog.is_tree_head(head | {"sha256_root_hash": "?"}) and not ctlog.is_tree_head({})
 
 
+def test_follow_logs(spark, tmp_path):
+    """Entries of a log get into the store by a stream; a second run reads only what is new."""
+    import base64
+    import json
+
+    from maploom.streaming.incremental import follow_logs
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    sized = lambda x: len(x).to_bytes(3, "big") + x
+    root = _certificate("root", "root")
+    leaves = [_certificate(f"n{k}.com", "root", "20400101000000Z", f"n{k}.com") for k in range(6)]
+    store, url = Store(spark, str(tmp_path / "store")), f"file://{tmp_path}/log"
+    (tmp_path / "log").mkdir()
+    for size in (4, 6):
+        head = {"tree_size": size, "timestamp": 1, "sha256_root_hash": b64(b"r" * 32), "tree_head_signature": b64(b"s%d" % size)}
+        (tmp_path / "log" / "get-sth.json").write_text(json.dumps(head))
+        for a in range(size):
+            for b in range(a, size):
+                entries = [{"leaf_input": b64(b"\0\0" + bytes(8) + b"\0\0" + sized(x) + b"\0\0"), "extra_data": b64(sized(sized(root)))} for x in leaves[a : b + 1]]
+                (tmp_path / "log" / f"get-entries-{a}-{b}.json").write_text(json.dumps({"entries": entries}))
+        assert follow_logs(spark, store, [url], str(tmp_path / "checkpoints"), 0, batch=2, part=3) == {url: size}
+        assert store.log_state(url) == (size, b64(b"s%d" % size)) and store.read("certs").count() == size + 1 and store.read("dirty").count() == size
+
+
+def test_small_helpers(spark):
+    from maploom.sources.bundles import plan_files
+
+    files = [(0, 9, "a"), (10, 19, "b"), (30, 39, "d"), (20, 24, "c")]
+    assert plan_files(files, 0) == (25, ["a", "b", "c"]) and plan_files(files, 0, 5) == (10, ["a"]) and plan_files(files, 10, 15) == (25, ["b", "c"]) and plan_files(files, 5) == (5, [])
+    with pytest.raises(ValueError):
+        plan_files([*files, (0, 4, "e")], 0)
+    assert intervals.fair_split(11, [2, 5, 7]) == {2: 4, 5: 4, 7: 3} and intervals.fair_split(3, []) == {}
+    names = spark.createDataFrame([(1, "cn", ["x"]), (2, "", ["", "san"]), (3, None, [])], "k int, cn string, names array<string>")
+    assert [r.s for r in names.orderBy("k").select(lookup.subject_name(F.col("cn"), F.col("names")).alias("s")).collect()] == ["cn", "san", ""]
+    certs = spark.createDataFrame([("l", "leaf", "mid"), ("m", "mid", "root"), ("m2", "mid", "root"), ("r", "root", "root"), ("x", "lost", "nobody")], "cert_id string, subject string, issuer string")
+    got = {(r.cert_id, r.ancestor) for r in lookup.chains(certs, certs.where("cert_id in ('l', 'x')")).collect()}
+    assert got == {("l", "l"), ("l", "m"), ("l", "r"), ("x", "x")}
+
+
 def test_signatures():
     from maploom.functions import signatures as s
 
@@ -431,3 +470,40 @@ def test_pem_and_times(spark, tmp_path):
     assert (r.d, r.n, r.m) == (27000, 2 * 86400 + 27000, 86400 + 27000)
     with pytest.raises(Exception, match="not a time of day"):
         spark.range(1).select(times.time_of_day(F.lit("25:00"))).collect()
+
+
+def test_workload(spark):
+    """The generated map coalesces to what a walk along the chains gives."""
+    from maploom.plans import workload as w
+
+    t = w.workload(spark, 40, certs_each=2, issuers=20, depth=3, policies_every=5)
+    rows = lambda n: [tuple(r) for r in t[n].collect()]
+    parent, links, policies = dict(rows("certs")), {}, dict(rows("domain_policies"))
+    for domain, cert in rows("domain_certs"):
+        while cert:
+            links.setdefault(domain, set()).add(cert)
+            cert = parent[cert]
+    got = {r.domain_id: r for r in coalesce.coalesce(t["dirty"], t["domain_certs"], t["certs"], t["domain_policies"], t["policies"]).collect()}
+    assert len(got) == 40 and len(policies) == 8
+    for domain, ids in links.items():
+        assert got[domain].cert_ids == "".join(sorted(ids)) and got[domain].n_certs == len(ids) and got[domain].policy_ids == policies.get(domain)
+        both = sorted(ids | ({policies[domain]} if domain in policies else set()))
+        assert got[domain].leaf_value == hashlib.sha256(bytes.fromhex("".join(both))).hexdigest()
+    assert w.speedup([4, 2, 6], [1, 2, 3]) == {"old_median": 4, "new_median": 2, "old_range": 2.0, "new_range": 1.0, "speedup_percent": 50}
+
+
+def test_export(spark, tmp_path):
+    import json
+    from datetime import datetime
+
+    from maploom.sources import export
+
+    h = lambda x: sha(x).hex()
+    rows = [(h("a"), None, datetime(2030, 1, 2, 3, 4, 5), "cGF5"), (h("b"), h("a"), datetime(2031, 1, 1), "bG9hZA==")]
+    certs = spark.createDataFrame(rows, "cert_id string, parent_id string, expiration timestamp, payload string")
+    export.to_csv(certs, "certs", str(tmp_path / "certs"))
+    assert sorted(map(tuple, export.from_csv(spark, "certs", str(tmp_path / "certs")).collect())) == sorted(rows)
+    export.write_json(str(tmp_path / "x.json"), {"a": [1]})
+    assert json.loads((tmp_path / "x.json").read_text()) == {"a": [1]}
+    got = export.policies_of(spark.createDataFrame([("a.com",), ("com",), ("a.com",)], "name string")).collect()
+    assert [(r.domain, r.policy_id) for r in got] == [("a.com", hashlib.sha256(b'{"T":"*pc","O":{"Domain":"a.com"}}').hexdigest())]
