@@ -267,8 +267,12 @@ def read(spark: SparkSession, base: str, index: DataFrame, max_gap: int = 1 << 1
                     hi = rows[j]["offset"] + rows[j]["size"]
                     j += 1
                 block = f.read_at(hi - lo, lo)
-                ids = [expand.decompress(block[r["offset"] - lo : r["offset"] - lo + r["size"]]) for r in rows[k:j]]
-                yield {"doc_id": [r["doc_id"] for r in rows[k:j]], "part": [r["part"] for r in rows[k:j]], "place": [r["place"] for r in rows[k:j]], "n_tokens": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids]}
+                out = {c: [r[c] for r in rows[k:j]] for c in ("doc_id", "part", "place")} | {"n_tokens": [], "ids_crc32": []}
+                for r in rows[k:j]:  # one document's ids at a time
+                    ids = expand.decompress(block[r["offset"] - lo : r["offset"] - lo + r["size"]])
+                    out["n_tokens"].append(len(ids) // 4)
+                    out["ids_crc32"].append(zlib.crc32(ids))
+                yield out
                 k = j
 
     total = index.agg(F.sum("size")).first()[0] or 0

@@ -35,8 +35,8 @@ from .common import Workspace, map_arrow, small_batches
 from .token_files import file_system
 
 MIN_REVISIT, FILE_BYTES = 1000, 256 << 20
-#: Bytes of an archive that one task reads back.
-READ_BYTES = 8 << 20
+#: Bytes of an archive that one task reads back, and of payloads that it gives out at once.
+READ_BYTES, OUT_BYTES = 8 << 20, 4 << 20
 #: Namespace of the record ids; characters of a URI that are not percent-encoded ("%" is, so that reading undoes it).
 PAGES, URI_SAFE = uuid.uuid5(uuid.NAMESPACE_URL, "pages"), ":/?#[]@!$&'()*+,;=-._~"
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, record_type string, refers_to long"
@@ -124,6 +124,8 @@ def read(spark: SparkSession, base: str, index: DataFrame, max_gap: int = 1 << 1
     The digest of a response's payload is checked against its header.
     """
 
+    columns = ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload")
+
     def run(batches):
         fs, root = file_system(base)
         name = f = None
@@ -138,7 +140,7 @@ def read(spark: SparkSession, base: str, index: DataFrame, max_gap: int = 1 << 1
                     hi = rows[j]["offset"] + rows[j]["length"]
                     j += 1
                 block = f.read_at(hi - lo, lo)
-                out = {c: [] for c in ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload")}
+                out, held = {c: [] for c in columns}, 0
                 for r in rows[k:j]:
                     head, payload = parse(block[r["offset"] - lo : r["offset"] - lo + r["length"]])
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -151,6 +153,10 @@ def read(spark: SparkSession, base: str, index: DataFrame, max_gap: int = 1 << 1
                     out["refers_to"].append(int(refers) if refers else None)
                     out["payload_digest"].append(digest)
                     out["payload"].append(None if refers else payload)
+                    held += len(payload)
+                    if held > OUT_BYTES:  # compressed bytes say little about those of the payloads
+                        yield out
+                        out, held = {c: [] for c in columns}, 0
                 yield out
                 k = j
 
