@@ -5,7 +5,8 @@ repeated.  Suspicious tokens become a lattice of what each character may stand
 for; a Viterbi decoder finds the likeliest letters under a trigram character
 language model, counted over all texts.  Characters set apart by blanks (runs of
 ``SPACED`` or more words of one character, repeated or not, one of them a letter)
-are a lattice too, decoded as one word and with optional word boundaries.  The
+are a lattice too, decoded as one word and with optional word boundaries.  Tokens
+without any letter are numbers or marks and stay as they are.  The
 words of a text, restored and as they are, are features of a logistic regression
 fitted on labelled documents.
 
@@ -151,7 +152,7 @@ def word_features(texts: tn.Texts, decoder: Decoder) -> tuple[np.ndarray, np.nda
     letters = n_letter[end] - n_letter[start]
     inner = n_odd[np.maximum(right, left)] - n_odd[left]
     whole = n_odd[end] - n_odd[start]
-    odd = (letters >= 2) & ((inner > 0) | (whole > 0) | (triple[end] - triple[start] > 0))
+    odd = (letters > 0) & ((inner > 0) | (whole > 0) | (triple[end] - triple[start] > 0))
     restored, owner = [], []
     raw = d.tobytes()
     for k in np.flatnonzero(odd).tolist():
