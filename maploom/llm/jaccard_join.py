@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import Bloom, Workspace, arrow_schema, components, docs_of, lists, map_arrow, relabel, release, small_batches
+from .common import Bloom, Workspace, components, docs_of, lists, map_arrow, relabel, release, small_batches
 
 SLOTS_LOG2 = 20  #: counters of the frequency sketch (fixed size)
 HOT = 32  #: a counter below this says nothing about its shingles
@@ -118,25 +118,44 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
     return classes
 
 
-def features(docs: DataFrame, classes) -> DataFrame:
-    """One row per document; its set's prefix and bitmap once per task and set."""
+def sets_and_bits(docs: DataFrame) -> DataFrame:
+    """``doc_id, sid, n, bits`` of each document; its set's bitmap once per task and set."""
 
     def run(batches):
-        cls = np.frombuffer(classes.value, np.uint8)
         seen: set[int] = set()
         for batch, texts in tn.chunks(batches):
-            ids, ns, bits, toks, salts, cut = [], [], [], [], [], [0]
+            ids, ns, bits = [], [], []
+            for s in tn.shingle_sets(texts):
+                ids.append(set_id(s))
+                ns.append(len(s))
+                new = len(s) and ids[-1] not in seen
+                bits.append(bitmap(s, int(width(band(len(s))))) if new else None)
+                if new:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(ids[-1])
+            yield {"doc_id": batch.column("doc_id").cast(pa.int64()), "sid": ids, "n": ns, "bits": bits}
+
+    return map_arrow(docs, run, "doc_id long, sid long, n long, bits binary")
+
+
+def prefixes(docs: DataFrame, classes) -> DataFrame:
+    """``sid, n, token, salt``: the rarest shingles of each set, once per task and set."""
+
+    def run(batches):
+        cls = np.frombuffer(classes.value, np.uint8)
+        seen: set[int] = set()
+        for _, texts in tn.chunks(batches):
+            ids, ns, toks, salts, cut = [], [], [], [], [0]
             for s in tn.shingle_sets(texts):
                 n = len(s)
                 sid = set_id(s)
-                ids.append(sid)
-                ns.append(n)
-                if n == 0 or sid in seen:
-                    bits.append(None)
-                else:
+                if n and sid not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(sid)
+                    ids.append(sid)
+                    ns.append(n)
                     c = cls[_slots(s)]
                     p = n - (75 * n + 99) // 100 + 1
                     at = np.argsort(c, kind="stable")[:p] if c.any() else np.arange(p)
@@ -145,16 +164,11 @@ def features(docs: DataFrame, classes) -> DataFrame:
                     salt = np.where(parts > 0, 1 + (sid & 0x7FFFFFFF) % np.maximum(parts, 1), 0)
                     toks.append(s[at].view(np.int64))
                     salts.append(salt.astype(np.int16))
-                    bits.append(bitmap(s, int(width(band(n)))))
-                cut.append(cut[-1] + (len(toks[-1]) if bits[-1] is not None else 0))
-            flat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), lists(cut, flat(toks, np.int64), pa.int64()), lists(cut, flat(salts, np.int16), pa.int16()), pa.array(bits, pa.binary())],
-                schema=arrow_schema(ddl),
-            )
+                    cut.append(cut[-1] + p)
+            if ids:
+                yield {"sid": ids, "n": ns, "token": lists(cut, np.concatenate(toks), pa.int64()), "salt": lists(cut, np.concatenate(salts), pa.int16())}
 
-    ddl = "doc_id long, sid long, n long, token array<long>, salt array<short>, bits binary"
-    return map_arrow(docs, run, ddl)
+    return map_arrow(docs, run, "sid long, n long, token array<long>, salt array<short>")
 
 
 def shared_tokens(feats: DataFrame) -> DataFrame:
@@ -186,7 +200,7 @@ def shared_tokens(feats: DataFrame) -> DataFrame:
             k = first[-1]
             lead, shown = (token[k], salt[k], sid[k], n[k]), open_shown
 
-    rows = feats.where("bits is not null").select("sid", "n", F.explode(F.arrays_zip("token", "salt")).alias("t")).select("t.token", "t.salt", "sid", "n")
+    rows = feats.select("sid", "n", F.explode(F.arrays_zip("token", "salt")).alias("t")).select("t.token", "t.salt", "sid", "n")
     rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "sid")
     return map_arrow(rows, run, "token long, salt short, sid long, n long, lead long, lead_n long")
 
@@ -411,11 +425,15 @@ def remaining_pairs(rows: DataFrame, bits: DataFrame, tested: DataFrame) -> Data
     lowest = rows.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LOWEST).alias("lowest"))
     rows = rows.join(lowest, "sid").withColumn("minor", F.col("comp") != F.col("main")).withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int")).drop("main")
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(_BAND)) + F.lit(1e-9)).cast("int")
-    rows = rows.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    rows = rows.withColumn("home", F.col("own") == F.col("band")).drop("own")
-    target = rows.withColumn("asks", F.lit(0)).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    asking = rows.where("minor").withColumn("asks", F.lit(1)).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = target.unionByName(asking)
+
+    def spread(rows):
+        """A row for each band and, of the asking members, for each block."""
+        rows = rows.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+        rows = rows.withColumn("home", F.col("own") == F.col("band")).drop("own")
+        target = rows.withColumn("asks", F.lit(0)).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        asking = rows.where("minor").withColumn("asks", F.lit(1)).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return target.unionByName(asking)
+
     columns, ddl = ["token", "band", "blk", "asks", "sid", "n", "comp", "home", "minor", "lowest"], "a long, na long, b long, nb long"
 
     def dealt(tiles, more=()):
@@ -424,9 +442,10 @@ def remaining_pairs(rows: DataFrame, bits: DataFrame, tested: DataFrame) -> Data
     def fresh(pairs):
         return pairs.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
-    few = map_arrow(dealt(both.where(F.col("g") <= SMALL)), partial(run, with_bits=False), ddl)
+    few = map_arrow(dealt(spread(rows.where(F.col("g") <= SMALL))), partial(run, with_bits=False), ddl)
     few = pass_bound(fresh(few), bits)
-    many = map_arrow(dealt(both.where(F.col("g") > SMALL).join(bits, "sid"), ["bits"]), partial(run, with_bits=True), ddl)
+    # bitmaps are joined before rows are spread: fewer rows are shuffled for it
+    many = map_arrow(dealt(spread(rows.where(F.col("g") > SMALL).join(bits, "sid")), ["bits"]), partial(run, with_bits=True), ddl)
     return few.unionByName(fresh(many).select("a", "b")).distinct()
 
 
@@ -435,13 +454,14 @@ def needed(work: Workspace, pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return work.save(marks.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi"), "need")
 
 
-def link_sets(work: Workspace, feats: DataFrame, arrays) -> DataFrame | None:
-    """``id, component`` of the sets that link, of ``feats(sid, n, token, salt, bits)``.
+def link_sets(work: Workspace, feats: DataFrame, arrays, tokens: DataFrame | None = None) -> DataFrame:
+    """``id, component`` of the sets that link, of ``feats(sid, bits)`` and ``tokens(sid, n, token, salt)``.
 
     Sets that share a token are compared; ``arrays(pairs)`` gives the sorted hashes
     of the sets in pairs.  ``feats`` must be a saved table; it is deleted once read.
+    Without ``tokens`` it has these columns, too.
     """
-    live = work.save(shared_tokens(feats), "live")
+    live = work.save(shared_tokens(feats.where("bits is not null") if tokens is None else tokens), "live")
     release(work.spark)
     ids = live.select("sid").distinct()
     bits = work.save(feats.where("bits is not null").select("sid", "bits").join(ids, "sid", "left_semi").dropDuplicates(["sid"]), "bits")
@@ -481,10 +501,11 @@ def jaccard_join(docs: DataFrame, name: str = "jaccard") -> DataFrame:
     docs = docs_of(docs, "doc_id", "text")
     work = Workspace(spark, name)
     classes = spark.sparkContext.broadcast(frequency_classes(docs).tobytes())
-    feats = work.save(features(docs, classes), "features")
+    # the tokens go straight into their shuffle: saved, they would be most of the disk
+    feats = work.save(sets_and_bits(docs), "features")
     sets = work.save(feats.select("doc_id", "sid", "n"), "sets")
     classes_of = work.save(sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "copies")
-    comp = link_sets(work, feats, lambda pairs: set_arrays(docs, needed(work, pairs, classes_of.select("sid", F.xxhash64("first").alias("mark")))))
+    comp = link_sets(work, feats, lambda pairs: set_arrays(docs, needed(work, pairs, classes_of.select("sid", F.xxhash64("first").alias("mark")))), prefixes(docs, classes))
     named = work.save(classes_of.join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "classes")
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(least, "component").select("sid", "least", "copies")
