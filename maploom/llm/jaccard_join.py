@@ -360,7 +360,7 @@ def met_before(token: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return seen
 
 
-def remaining_pairs(rows: DataFrame, bits: DataFrame, tested: DataFrame) -> DataFrame:
+def remaining_pairs(work: Workspace, rows: DataFrame, bits: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs across components in tiles that still hold several, by size band and block, past the bound.
 
     Sets that share many tokens meet in many tiles; as a rule only the tile of
@@ -425,15 +425,11 @@ def remaining_pairs(rows: DataFrame, bits: DataFrame, tested: DataFrame) -> Data
     lowest = rows.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LOWEST).alias("lowest"))
     rows = rows.join(lowest, "sid").withColumn("minor", F.col("comp") != F.col("main")).withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int")).drop("main")
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(_BAND)) + F.lit(1e-9)).cast("int")
-
-    def spread(rows):
-        """A row for each band and, of the asking members, for each block."""
-        rows = rows.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-        rows = rows.withColumn("home", F.col("own") == F.col("band")).drop("own")
-        target = rows.withColumn("asks", F.lit(0)).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-        asking = rows.where("minor").withColumn("asks", F.lit(1)).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return target.unionByName(asking)
-
+    rows = rows.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    rows = rows.withColumn("home", F.col("own") == F.col("band")).drop("own")
+    target = rows.withColumn("asks", F.lit(0)).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    asking = rows.where("minor").withColumn("asks", F.lit(1)).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = target.unionByName(asking)
     columns, ddl = ["token", "band", "blk", "asks", "sid", "n", "comp", "home", "minor", "lowest"], "a long, na long, b long, nb long"
 
     def dealt(tiles, more=()):
@@ -442,10 +438,11 @@ def remaining_pairs(rows: DataFrame, bits: DataFrame, tested: DataFrame) -> Data
     def fresh(pairs):
         return pairs.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
-    few = map_arrow(dealt(spread(rows.where(F.col("g") <= SMALL))), partial(run, with_bits=False), ddl)
-    few = pass_bound(fresh(few), bits)
-    # bitmaps are joined before rows are spread: fewer rows are shuffled for it
-    many = map_arrow(dealt(spread(rows.where(F.col("g") > SMALL).join(bits, "sid")), ["bits"]), partial(run, with_bits=True), ddl)
+    # one after the other, so that the shuffles of both never lie on disk together
+    few = map_arrow(dealt(both.where(F.col("g") <= SMALL)), partial(run, with_bits=False), ddl)
+    few = work.save(pass_bound(fresh(few), bits), "few")
+    release(work.spark)
+    many = map_arrow(dealt(both.where(F.col("g") > SMALL).join(bits, "sid"), ["bits"]), partial(run, with_bits=True), ddl)
     return few.unionByName(fresh(many).select("a", "b")).distinct()
 
 
@@ -482,7 +479,8 @@ def link_sets(work: Workspace, feats: DataFrame, arrays, tokens: DataFrame | Non
             comp = relabel(work, comp, more)
             before, tiles = tiles, work.save(open_tiles(tiles, comp), "open")
             work.drop(before)
-    rest = work.save(remaining_pairs(tiles, bits, likely), "rest")
+    release(work.spark)
+    rest = work.save(remaining_pairs(work, tiles, bits, likely), "rest")
     links = links.unionByName(settle(rest, arrays(rest)))
     # ids of one name are connected, so the names and the links since the first components have all
     comp = work.save(components(work, comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)), "comp")
