@@ -21,9 +21,9 @@ def signed_head(store: Store, n: int, d: int) -> dict:
     return {"root": root, "signature": crypto.rsa_sign(bytes.fromhex(root or ""), n, d).hex()}
 
 
-def payload_ids(store: Store, ids: DataFrame) -> DataFrame:
+def payload_ids(payloads: DataFrame, ids: DataFrame) -> DataFrame:
     """``domain_id, cert_ids_id, cert_ids, policy_ids_id, policy_ids`` of the asked domains; zero ids and nulls where there is nothing."""
-    rows = ids.select("domain_id").distinct().join(store.read("domain_payloads"), "domain_id", "left")
+    rows = ids.select("domain_id").distinct().join(payloads, "domain_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(ZERO_ID)).alias(c)
     return rows.select("domain_id", zero("cert_ids_id"), "cert_ids", zero("policy_ids_id"), "policy_ids")
 
@@ -40,7 +40,7 @@ def get_proofs(store: Store, names: DataFrame, head: dict | None = None) -> Data
     bad = rows.where("up is null").select("name", F.lit("invalid domain name").alias("error"))
     parts = rows.where("up is not null").select("name", F.posexplode("up").alias("position", "domain_name")).withColumn("domain_id", F.sha2("domain_name", 256))
     found = smt.proofs(parts.select(F.col("domain_id").alias("key")), store.read("leaves"), store.read("nodes")).withColumnRenamed("key", "domain_id")
-    out = parts.join(found, "domain_id").join(payload_ids(store, parts), "domain_id")
+    out = parts.join(found, "domain_id").join(payload_ids(store.read("domain_payloads"), parts), "domain_id")
     both = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(split_ids(F.col(c)), F.array().cast("array<string>")) for c in ("cert_ids", "policy_ids")])))
     value = F.when(F.col("included"), F.sha2(F.unhex(F.array_join(both, "")), 256))
     out = out.select("name", "position", "domain_name", "domain_id", "included", "path", "proof_key", "proof_value", F.lit(head["root"]).alias("root"), F.lit(head["signature"]).alias("signature"), "cert_ids_id", "cert_ids", "policy_ids_id", "policy_ids", value.alias("value"), F.lit(None).cast("string").alias("error"))

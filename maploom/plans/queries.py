@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import domains as dn
 from ..functions import ids, policies, times
 from ..operators import coalesce as co
-from ..operators import intervals, lookup, smt
+from ..operators import intervals, lookup, serving, smt
 from ..operators.closure import ancestors, descendants
 from ..sources import bundles
-from ..store import cut, upsert_ignore, upsert_replace
+from ..store import Store, cut, shared_dir, upsert_ignore, upsert_replace
 from . import fixture as fx
 from .fixture import table, with_
 
@@ -420,3 +420,86 @@ def glued_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fx.domain_certs(spark, sf_dir).groupBy("domain_id").agg(F.expr("listagg(id, '') WITHIN GROUP (ORDER BY id)").alias("glued"))
     parts = ids.split_ids(F.col("glued"))
     return g.select("domain_id", F.size(parts).cast("long").alias("n"), ids.list_digest(F.array_join(parts, "")).alias("digest"), F.element_at(parts, 1).alias("first_id"))
+
+
+_PLAIN = _suffix("{0}").replace("OR regexp_full_match({0}, '[a-z][a-z]') ", "")
+
+
+@query(f"""WITH {_HOSTS}, t AS (SELECT name, string_split(name, '.') AS l, len(string_split(name, '.')) AS n FROM hosts), k AS (SELECT name, l, n, list_max([i FOR i IN range(1, n + 1) IF {_PLAIN.format("array_to_string(l[n-i+1:n], '.')")}]) AS k FROM t)
+SELECT name, CASE WHEN k IS NOT NULL THEN array_to_string(l[n-k+1:n], '.') END AS suffix FROM k""")
+def suffix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public suffixes of host names by a join with the rules."""
+    rules = dn.Rules(countries=False)
+    return dn.with_suffix(_hosts(spark, sf_dir), dn.rules_table(spark, rules))
+
+
+_IDS = "SELECT sha256('d' || p_partkey || '.example.com') AS domain_id, sha256('c' || p_partkey) AS cert_ids, sha256(unhex(sha256('c' || p_partkey))) AS cert_ids_id FROM part WHERE p_partkey % 7 <> 0"
+
+
+@query(f"""WITH pl AS ({_IDS}) SELECT domain_id, coalesce(cert_ids_id, repeat('0', 64)) AS cert_ids_id, cert_ids, repeat('0', 64) AS policy_ids_id, NULL::VARCHAR AS policy_ids FROM ({_DOMAIN}) LEFT JOIN pl USING (domain_id)""")
+def payload_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the payloads of domains, zero where there is none."""
+    key = F.sha2(F.concat(F.lit("c"), F.col("p_partkey").cast("string")), 256)
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "part").where("p_partkey % 7 <> 0").select(F.sha2(F.concat(F.lit("d"), F.col("p_partkey").cast("string"), F.lit(".example.com")), 256).alias("domain_id"), key.alias("cert_ids"), ids.list_digest(key).alias("cert_ids_id"), none.alias("policy_ids"), none.alias("policy_ids_id"))
+    return serving.payload_ids(rows, _dirty_table(spark, sf_dir)).select("domain_id", "cert_ids_id", "cert_ids", "policy_ids_id", "policy_ids")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN s_name WHEN s_suppkey % 2 = 0 THEN 'san' || s_suppkey ELSE '' END AS subject FROM supplier")
+def subject_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common name, else the first other name that is not empty."""
+    k = F.col("s_suppkey")
+    cn = F.when(k % 3 > 0, F.col("s_name")).when(k % 2 == 0, "")
+    names = F.when(k % 2 == 0, F.array(F.lit(""), F.concat(F.lit("san"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", lookup.subject_name(cn, names).alias("subject"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT 's' || s_suppkey AS id, 's' || s_suppkey AS subject, 'n' || s_nationkey AS issuer FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+ UNION ALL SELECT 'z' || n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey, 'r' || r_regionkey FROM region),
+a AS (SELECT id AS cert_id, id AS ancestor FROM c WHERE id[1] = 's' UNION SELECT a.cert_id, (SELECT min(p.id) FROM c p WHERE p.subject = x.issuer) FROM a JOIN c x ON x.id = a.ancestor WHERE x.issuer <> x.subject)
+SELECT cert_id, ancestor FROM a WHERE ancestor IS NOT NULL""")
+def issuer_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains by issuer and subject, up to self-signed certificates; of two with one subject the lesser id."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    leaves = s.select(name("s", "s_suppkey").alias("cert_id"), name("s", "s_suppkey").alias("subject"), name("n", "s_nationkey").alias("issuer"))
+    mid = [n.select(name(p, "n_nationkey").alias("cert_id"), name("n", "n_nationkey").alias("subject"), name("r", "n_regionkey").alias("issuer")) for p in "nz"]
+    top = r.select(name("r", "r_regionkey").alias("cert_id"), name("r", "r_regionkey").alias("subject"), name("r", "r_regionkey").alias("issuer"))
+    return lookup.chains(leaves.unionByName(mid[0]).unionByName(mid[1]).unionByName(top), leaves)
+
+
+@query("""SELECT c_custkey, (c_custkey % 10 >= 2 AND c_custkey % 10 + c_nationkey % 5 <= 9 AND c_custkey % 3 <> 2) AS allowed, (c_nationkey % 4 = 0) AS twice FROM customer""")
+def policy_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issuer constraints, and repeated attributes: validity inside the issuer's, a name below its domain, none twice."""
+    k, m = F.col("c_custkey") % 10, F.col("c_nationkey")
+    domain = F.when(F.col("c_custkey") % 3 == 0, "a.com").when(F.col("c_custkey") % 3 == 1, "x.a.com").otherwise("xa.com")
+    fine = policies.issuer_allows(F.lit("a.com"), F.lit(2), F.lit(9), domain, k, k + m % 5)
+    one = F.array(F.lit("a"))
+    twice = policies.duplicate_attributes(one, F.when(m % 4 == 0, F.array(F.lit("x"), F.lit("y"))), F.array(F.lit("x")), F.lit(None).cast("array<string>"))
+    return table(spark, sf_dir, "customer").select("c_custkey", fine.alias("allowed"), twice.alias("twice"))
+
+
+@query("""SELECT c_custkey % 1440 AS minute, count(*) AS n, (c_custkey % 1440) * 60 AS seconds, 86400 + CASE WHEN c_custkey % 1440 * 60 > 30000 THEN 0 ELSE 86400 END + c_custkey % 1440 * 60 AS next FROM customer GROUP BY ALL""")
+def times_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of day and when they come next."""
+    m = F.col("c_custkey") % 1440
+    rows = table(spark, sf_dir, "customer").groupBy(m.alias("minute")).agg(F.count("*").alias("n"))
+    text = F.format_string("%02d:%02d", F.floor(F.col("minute") / 60), F.col("minute") % 60)
+    seconds = times.time_of_day(text)
+    return rows.select("minute", "n", seconds.cast("long").alias("seconds"), times.to_seconds(times.next_time_of_day(times.from_seconds(F.lit(86400 + 30000)), seconds)).alias("next"))
+
+
+@query("""SELECT sha256('d' || c_custkey) AS domain_id, CASE WHEN c_custkey % 2 = 0 THEN 'first' || c_nationkey ELSE 'second' || c_nationkey END AS name, c_custkey % 5 = 0 AS coalesced FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+def stored_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writes to the store; names keep the first writer's, flags the last."""
+    import uuid
+
+    store = Store(spark, f"{shared_dir(spark)}/maploom/store-{uuid.uuid4().hex[:12]}")
+    c = table(spark, sf_dir, "customer")
+    key = F.sha2(F.concat(F.lit("d"), F.col("c_custkey").cast("string")), 256).alias("domain_id")
+    for step, word in ((2, "first"), (3, "second")):
+        some = c.where(F.col("c_custkey") % step == 0)
+        store.ignore("domains", some.select(key, F.concat(F.lit(word), F.col("c_nationkey").cast("string")).alias("domain_name")))
+        store.replace("dirty", some.select(key, F.lit(False).alias("coalesced")))
+    store.replace("dirty", c.where("c_custkey % 5 = 0").where("c_custkey % 2 = 0 or c_custkey % 3 = 0").select(key, F.lit(True).alias("coalesced")))
+    return store.read("domains").join(store.read("dirty"), "domain_id").select("domain_id", F.col("domain_name").alias("name"), "coalesced")

@@ -69,8 +69,14 @@ def bundle_rows(spark: SparkSession, paths: list[str] | str, skip_missing: bool
 
     ``chain`` has the parts of the chain field, an empty field one empty part, which
     no certificate can be decoded from.  ``expiration`` is the whole seconds before
-    its one full stop.  Truncated archives fail the job.
+    its one full stop.  Truncated archives fail the job, and so do missing files
+    unless ``skip_missing``, before or while they are read.
     """
+    paths = [paths] if isinstance(paths, str) else paths
+    if skip_missing:
+        paths = existing(spark, paths)
+        if not paths:
+            return spark.createDataFrame([], "value string, cert string, chain array<string>, expiration long, error string")
     lines = spark.read.option("ignoreMissingFiles", str(skip_missing).lower()).option("ignoreCorruptFiles", "false").text(paths)
     rows = split_lines(lines)
     good = rows.where("disposition <> 'fallback'").select("value", "cert", "chain", "expiration", F.when(F.col("disposition") == "error", "not a bundle line").alias("error"))
@@ -82,6 +88,12 @@ def bundle_rows(spark: SparkSession, paths: list[str] | str, skip_missing: bool
     return both.select("value", "cert", F.split("chain", ";", -1).alias("chain"), seconds.alias("expiration"), error.alias("error"))
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that are there (globs are left as they are)."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return [p for p in paths if "*" in p or path(p).getFileSystem(conf).exists(path(p))]
+
+
 def checked(rows: DataFrame, mode: str) -> DataFrame:
     """Rows without ``error``; with FAILFAST a bad one fails the job."""
     if mode not in (FAILFAST, PERMISSIVE):

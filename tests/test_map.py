@@ -311,6 +311,10 @@ def test_bad_bundles(spark, tmp_path):
     cut.write_bytes(gzip.compress(("\n".join(_line(good, mid, expiration=f"{2524608000 + k}.5") for k in range(2000)) + "\n").encode())[:-400])
     with pytest.raises(Exception):  # noqa: B017
         b.read_bundles(spark, str(cut), 0).count()
+    both = [str(path), str(tmp_path / "20-29.gz")]
+    assert b.bundle_rows(spark, both, skip_missing=True).count() == rows.count() and b.bundle_rows(spark, both[1:], skip_missing=True).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        b.bundle_rows(spark, both).count()
     assert b.sorted_bundles(["x/10-19.gz", "x/9-9.gz", "x/0-8.csv"]) == ["x/0-8.csv", "x/9-9.gz", "x/10-19.gz"]
 
 
