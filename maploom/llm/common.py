@@ -104,9 +104,9 @@ def settings(spark: SparkSession, **conf: str):
                 spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, size: str = ARROW_BYTES) -> None:
     """Bound Arrow batches by bytes, so that very long texts fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
 
@@ -126,7 +126,8 @@ _MADE: dict = {}
 def kept(key, make: Callable):
     """``make()``, kept in the Python worker for later tasks with the same key; one at a time."""
     if key not in _MADE:
-        forget()
+        _MADE.clear()
+        trim()  # what earlier tasks of other operators have left, too
         _MADE[key] = make()
     return _MADE[key]
 
@@ -135,9 +136,15 @@ def forget() -> None:
     """Drop what :func:`kept` holds in this Python worker and give the memory back to the system."""
     if _MADE:
         _MADE.clear()
-        gc.collect()
-        with suppress(OSError, AttributeError):  # only the GNU C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give free memory of this Python worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, fn, ddl: str, keeps: bool = False) -> DataFrame:

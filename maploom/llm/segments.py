@@ -31,11 +31,11 @@ class SegmentEncoder:
     """Ids of whole chunks, from an encoder of lists of byte strings to lists of ids.
 
     Known segments are found in an open-addressing table of numpy arrays, so a
-    worker holds about 24 bytes a segment besides its ids.
+    worker holds about 30 bytes a segment besides its ids, which are of the given kind.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], kind: type = np.uint32):
+        self.encode, self.kind = encode, kind
         self._clear(KEEP)
 
     def _clear(self, room: int) -> None:
@@ -45,7 +45,7 @@ class SegmentEncoder:
         self.mask = tn.U64(slots - 1)
         self.key, self.at = np.zeros(slots, tn.U64), np.zeros(slots, np.int32)
         self.start, self.length = np.empty(room, np.int64), np.empty(room, np.int32)
-        self.ids = np.empty(1 << 16, np.uint32)
+        self.ids = np.empty(1 << 16, self.kind)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The number of each segment, -1 for unknown ones."""
@@ -63,10 +63,10 @@ class SegmentEncoder:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         need = self.used + int(sizes.sum())
         if need > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(need, len(self.ids)), np.uint32)])
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(need, len(self.ids)), self.kind)])
         number = np.arange(self.n, self.n + len(h), dtype=np.int32)
         self.start[number], self.length[number] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.ids[self.used : need] = np.fromiter(chain.from_iterable(parts), np.uint32, need - self.used)
+        self.ids[self.used : need] = np.fromiter(chain.from_iterable(parts), self.kind, need - self.used)
         self.used, self.n = need, self.n + len(h)
         slot = (h & self.mask).astype(np.int64)
         while len(h):  # of those that want a free slot the first one gets it

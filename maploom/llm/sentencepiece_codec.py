@@ -3,7 +3,8 @@
 The model file's protobuf is read here, and an equal tokenizer is built with
 the tokenizers library: the normaliser, the metaspace marker with its dummy
 prefix, unigram scores or BPE merges by score, and byte fallback.  Batches are
-encoded by its multithreaded ``encode_batch``.
+encoded by its ``encode_batch``, in a Spark task on the one thread that the task has:
+threads of its own would hold some 40 MB more in each worker.
 
 Parity: every whole text is also encoded with the sentencepiece library, only to
 compare; ``n_differ`` counts the ids of the text that differ.  Texts are cut before a new line and before
@@ -22,8 +23,10 @@ other than doc_id and text are never read.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from .common import docs_of, kept, lists, map_arrow, small_batches
 from .segments import SegmentEncoder, ragged, spans
 
 MARK = "▁"
+#: Bytes of text that a worker encodes at once (arrays of eight bytes for each of them), and of an Arrow batch.
+AT_ONCE, BATCH = 1 << 18, "2m"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
 
 
@@ -140,7 +145,7 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         self.reference = SentencePieceProcessor(model_proto=raw)
         self.table, self.start, self.size = self.model.piece_bytes()
-        self.segments = SegmentEncoder(self._encode)
+        self.segments = SegmentEncoder(self._encode, np.uint16 if len(self.model.pieces) <= 1 << 16 else np.uint32)
 
     def _encode(self, segments: list[bytes]) -> list[list[int]]:
         # the dummy prefix stands for the space that a segment begins with, and goes where it begins with a new line
@@ -195,6 +200,21 @@ class Codec:
         return out[1:] if self.model.dummy_prefix and out[:1] == b" " else out
 
 
+def encode_rows(batches: Iterable[pa.RecordBatch], codec: Codec) -> Iterator[dict]:
+    """The columns of :func:`encode`, from ``doc_id, text``; for a task, on its one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    for batch, texts in tn.chunks(batches, size=AT_ONCE):
+        ids, count = codec.encode(texts)
+        cut = np.r_[0, np.cumsum(count)]
+        raw = ids.astype("<u4")
+        crc, same = [], []
+        for k in range(len(texts)):
+            mine = raw[cut[k] : cut[k + 1]]
+            crc.append(zlib.crc32(mine.tobytes()))
+            same.append(codec.decode(mine) == texts.text(k).replace(MARK.encode(), b" "))
+        yield {"doc_id": batch.column("doc_id").cast("int64"), "ids": lists(cut, ids.astype(np.int32), pa.int32()), "n_tokens": count, "ids_crc32": crc, "round_trip": same, "n_differ": codec.differ(texts, raw, cut)}
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, ids, n_tokens, ids_crc32, round_trip, n_differ`` of each row; no shuffle.
 
@@ -203,22 +223,12 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     ids that differ from the sentencepiece library's of the whole text.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH)
     with open(model_path, "rb") as f:
         handle = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        codec = kept(("sentencepiece", zlib.crc32(handle.value)), lambda: Codec(handle.value))
-        for batch, texts in tn.chunks(batches):
-            ids, count = codec.encode(texts)
-            cut = np.r_[0, np.cumsum(count)]
-            raw = ids.astype("<u4")
-            crc, same = [], []
-            for k in range(len(texts)):
-                mine = raw[cut[k] : cut[k + 1]]
-                crc.append(zlib.crc32(mine.tobytes()))
-                same.append(codec.decode(mine) == texts.text(k).replace(MARK.encode(), b" "))
-            yield {"doc_id": batch.column("doc_id").cast("int64"), "ids": lists(cut, ids.astype(np.int32), pa.int32()), "n_tokens": count, "ids_crc32": crc, "round_trip": same, "n_differ": codec.differ(texts, ids, cut)}
+        yield from encode_rows(batches, kept(("sentencepiece", zlib.crc32(handle.value)), lambda: Codec(handle.value)))
 
     return map_arrow(docs_of(docs, "doc_id", "text"), run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean, n_differ long", keeps=True)
 

@@ -113,15 +113,15 @@ class Texts:
         return mix(h ^ (end - start).astype(U64) * _M2)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Slices of the batches with about CHUNK_BYTES of text in each."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Slices of the batches with about ``size`` bytes of text in each."""
     for batch in batches:
         if not batch.num_rows:
             continue
         whole = Texts.of(batch.column(column))
         at = 0
         while at < len(whole):
-            stop = int(np.searchsorted(whole.offsets, whole.offsets[at] + CHUNK_BYTES, "right")) - 1
+            stop = int(np.searchsorted(whole.offsets, whole.offsets[at] + size, "right")) - 1
             stop = min(max(stop, at + 1), len(whole))
             lo, hi = whole.offsets[at], whole.offsets[stop]
             yield batch.slice(at, stop - at), Texts(whole.data[lo:hi], whole.offsets[at : stop + 1] - lo)

@@ -172,6 +172,47 @@ def test_sentencepiece(spark):
     assert back == {i: (t or "").replace("▁", " ") for i, t in rows}
 
 
+def test_sentencepiece_memory_of_a_worker():
+    """The pipeline's last stage held some 270 MB in each worker: a process of its own, as its peak is looked at."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import random, re
+import numpy as np, pyarrow as pa, public_tokenizers
+from maploom.llm import sentencepiece_codec as c
+from maploom.llm import textnum as tn
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def rows(batches, codec):
+    if hasattr(c, "encode_rows"):
+        yield from c.encode_rows(batches, codec)
+    else:
+        for _, texts in tn.chunks(batches):
+            ids, count = codec.encode(texts)
+            codec.differ(texts, ids, np.r_[0, np.cumsum(count)])
+            yield
+
+r = random.Random(1)
+letters = "etaoinshrdlu"
+texts = [" ".join("".join(r.choices(letters, k=r.randint(3, 9))) for _ in range(1000)) for _ in range(300)]
+codec = c.Codec(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+before = most = held()
+with np.errstate(over="ignore"):
+    for _ in rows([batch], codec):
+        most = max(most, held())
+print("MB", most - before)
+"""
+    here = Path(__file__).resolve().parents[2]
+    out = subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout.split("MB")[-1]) < 110, out.stdout
+
+
 def test_sentencepiece_rows_are_those_of_the_rebuilt_model(spark, tmp_path, monkeypatch):
     """A wrong rebuild or a wrong cut shows in the ids and in ``n_differ`` of the document, by the query too."""
     import numpy as np
